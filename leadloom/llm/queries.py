@@ -38,6 +38,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.lead_groups(_read(spark, d, "raw_leads"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.llm import mojibake
+
+    return mojibake.garbled(_read(spark, d, "raw_leads")).select("seq", "field")
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.llm import mojibake
+
+    return mojibake.garbled(_read(spark, d, "raw_leads"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from leadloom.llm import tokens
 
@@ -56,7 +68,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p5_found, p8_ids, p9_mix, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p5_found, p6_found, p6_restored, p8_ids, p9_mix, p9_shares)}
 
 SQL: dict[str, str] = {
     "p1_found": """
