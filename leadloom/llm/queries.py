@@ -32,6 +32,22 @@ def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
     return survivors.fuse(_read(spark, d, "std_leads"))[1]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.llm import canon
+
+    return canon.match(_read(spark, d, "raw_leads"), _read(spark, d, "canon_values")).select("seq", "field", "canon_id")
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that nothing in the list is meant by, with their rows counted."""
+    from pyspark.sql import functions as F
+
+    from leadloom.llm import canon
+
+    found = canon.match(_read(spark, d, "raw_leads"), _read(spark, d, "canon_values"))
+    return found.where(F.col("canon_id") == 0).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from leadloom.llm import components
 
@@ -68,7 +84,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p5_found, p6_found, p6_restored, p8_ids, p9_mix, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p4_found, p4_unmatched, p5_found, p6_found, p6_restored, p8_ids, p9_mix, p9_shares)}
 
 SQL: dict[str, str] = {
     "p1_found": """
