@@ -32,6 +32,18 @@ def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
     return survivors.fuse(_read(spark, d, "std_leads"))[1]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.llm import cascade
+
+    return cascade.match(_read(spark, d, "raw_leads"), _read(spark, d, "directory_leads")).select("raw_seq", "directory_seq")
+
+
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.llm import cascade
+
+    return cascade.match(_read(spark, d, "raw_leads"), _read(spark, d, "directory_leads"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from leadloom.llm import canon
 
@@ -66,6 +78,12 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(_read(spark, d, "raw_leads"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.llm import variants
+
+    return variants.link(_read(spark, d, "raw_leads"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from leadloom.llm import tokens
 
@@ -84,7 +102,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p4_found, p4_unmatched, p5_found, p6_found, p6_restored, p8_ids, p9_mix, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p3_found, p3_matches, p4_found, p4_unmatched, p5_found, p6_found, p6_restored, p7_found, p8_ids, p9_mix, p9_shares)}
 
 SQL: dict[str, str] = {
     "p1_found": """
