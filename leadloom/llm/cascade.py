@@ -24,53 +24,66 @@ from leadloom.llm.people import forms, one_edit, variants, with_keys
 RULES = ("mailbox", "profile", "name", "surname_typo", "given_typo", "initial")
 
 
-def _text(*parts: Column) -> Column:
-    """The parts as one key, null where one is missing."""
+def _key(*parts: Column) -> Column:
+    """The parts as one number, null where one is missing."""
     ok = parts[0].isNotNull()
     for p in parts[1:]:
         ok = ok & p.isNotNull()
-    return F.when(ok, F.concat_ws("\u0001", *parts))
+    return F.when(ok, F.xxhash64(*parts))
 
 
 def rule_keys(rule: str) -> Column:
-    """The keys (an array) under which a record joins by this rule."""
+    """The keys (an array of numbers) under which a record joins by this rule."""
     c, skel, given = F.col("company"), F.col("skel"), F.col("given")
     whole = F.char_length("given") > 1
     one = lambda k: F.array_compact(F.array(k))
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<bigint>")
     if rule == "mailbox":
-        return one(F.col("mailbox"))
+        return one(_key(F.col("mailbox")))
     if rule == "profile":
-        return one(F.col("slug"))
+        return one(_key(F.col("slug")))
     if rule == "name":
-        return F.when(whole, F.array_compact(F.transform("alts", lambda a: _text(c, a, skel)))).otherwise(none)
+        return F.when(whole, F.array_compact(F.transform("alts", lambda a: _key(c, a, skel)))).otherwise(none)
     if rule == "surname_typo":
-        near = F.flatten(F.transform(F.col("alts"), lambda a: F.transform(variants(skel), lambda v: _text(c, a, v))))
+        near = F.flatten(F.transform(F.col("alts"), lambda a: F.transform(variants(skel), lambda v: _key(c, a, v))))
         return F.when(whole & (F.char_length("skel") >= 4), F.array_compact(near)).otherwise(none)
     if rule == "given_typo":
-        return F.when(whole & (F.char_length("given") >= 4), F.array_compact(F.transform(variants(given), lambda v: _text(c, v, skel)))).otherwise(none)
-    return F.array_distinct(F.array_compact(F.transform("alts", lambda a: _text(c, F.substring(a, 1, 1), skel))))
+        return F.when(whole & (F.char_length("given") >= 4), F.array_compact(F.transform(variants(given), lambda v: _key(c, v, skel)))).otherwise(none)
+    return F.array_distinct(F.array_compact(F.transform("alts", lambda a: _key(c, F.substring(a, 1, 1), skel))))
 
 
 def _pairs(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
     """(l, r) of records that join by a rule and don't contradict each other."""
-    cols = ("id", "company", "given", "skel")
-    a = left.select(*[F.col(x).alias(f"l_{x}") for x in cols], F.explode(rule_keys(rule)).alias("key"))
-    b = right.select(*[F.col(x).alias(f"r_{x}") for x in cols], F.explode(rule_keys(rule)).alias("key"))
-    p = a.join(b, "key")
+    # Only ids and keys are spread over the variants; the attributes follow for the few that meet.
+    a = left.select(F.col("id").alias("l"), F.explode(rule_keys(rule)).alias("key"))
+    b = right.select(F.col("id").alias("r"), F.explode(rule_keys(rule)).alias("key"))
+    if rule == "initial":
+        short = lambda f: f.where(F.char_length("given") == 1)
+        a1 = short(left).select(F.col("id").alias("l"), F.explode(rule_keys(rule)).alias("key"))
+        b1 = short(right).select(F.col("id").alias("r"), F.explode(rule_keys(rule)).alias("key"))
+        p = a1.join(b, "key").unionByName(a.join(b1, "key")).select("l", "r").distinct()
+    else:
+        p = a.join(b, "key").select("l", "r").distinct()
+    cols = ("company", "given", "skel", "mailbox", "slug")
+    p = p.join(left.select(F.col("id").alias("l"), *[F.col(x).alias(f"l_{x}") for x in cols]), "l").join(right.select(F.col("id").alias("r"), *[F.col(x).alias(f"r_{x}") for x in cols]), "r")
     apart = F.coalesce((F.col("l_company") != F.col("r_company")) & ~F.col("l_company").startswith("?") & ~F.col("r_company").startswith("?"), F.lit(False))
     p = p.where(~apart)
+    # A number may stand for two keys: what met by it has to agree in fact.
+    if rule in ("mailbox", "profile"):
+        own = {"mailbox": "mailbox", "profile": "slug"}[rule]
+        p = p.where(F.col(f"l_{own}") == F.col(f"r_{own}"))
+    if rule in ("name", "given_typo", "initial"):
+        p = p.where((F.col("l_company") == F.col("r_company")) & (F.col("l_skel") == F.col("r_skel")))
     if rule == "surname_typo":
-        p = p.where((F.col("l_skel") != F.col("r_skel")) & one_edit(F.col("l_skel"), F.col("r_skel")))
+        p = p.where((F.col("l_company") == F.col("r_company")) & (F.col("l_skel") != F.col("r_skel")) & one_edit(F.col("l_skel"), F.col("r_skel")))
     if rule == "given_typo":
         p = p.where((F.col("l_given") != F.col("r_given")) & one_edit(F.col("l_given"), F.col("r_given")))
     if rule == "initial":
-        p = p.where((F.char_length("l_given") == 1) | (F.char_length("r_given") == 1))
         # An initial that fits two persons names neither.
         for me, other in (("l", "r"), ("r", "l")):
-            many = p.where(F.char_length(f"{me}_given") == 1).groupBy(f"{me}_id").agg(F.count_distinct(F.when(F.char_length(f"{other}_given") > 1, F.col(f"{other}_given"))).alias("k")).where(F.col("k") > 1)
-            p = p.join(many.select(f"{me}_id"), f"{me}_id", "left_anti")
-    return p.select(F.col("l_id").alias("l"), F.col("r_id").alias("r")).distinct()
+            many = p.where(F.char_length(f"{me}_given") == 1).groupBy(me).agg(F.count_distinct(F.when(F.char_length(f"{other}_given") > 1, F.col(f"{other}_given"))).alias("k")).where(F.col("k") > 1)
+            p = p.join(many.select(me), me, "left_anti")
+    return p.select("l", "r").distinct()
 
 
 def _precision(pairs: DataFrame, f: DataFrame) -> DataFrame:
@@ -113,8 +126,8 @@ def match(raw: DataFrame, directory: DataFrame, key: str = "seq") -> DataFrame:
     for x in found[1:]:
         direct = direct.unionByName(x)
     # Entities of either table: what agrees on a strong key.
-    strong = f.select("id", "side", "company", F.explode(F.concat(*[F.transform(rule_keys(r), lambda k, r=r: F.concat(F.lit(f"{r}:"), k)) for r in ("mailbox", "profile", "name")])).alias("key"))
-    linked = F.concat_ws("\u0001", "side", F.coalesce("company", F.lit("")), "key")
+    strong = f.select("id", "side", "company", F.explode(F.concat(*[F.transform(rule_keys(r), lambda k, r=r: F.xxhash64(F.lit(r), k)) for r in ("mailbox", "profile", "name")])).alias("key"))
+    linked = F.concat_ws("\u0001", "side", F.coalesce("company", F.lit("")), F.col("key").cast("string"))
     graph = strong.select("id", linked.alias("key")).unionByName(
         direct.select(F.col("l").alias("id"), F.concat(F.lit("pair:"), F.col("l"), F.lit("-"), F.col("r")).alias("key")).unionByName(direct.select(F.col("r").alias("id"), F.concat(F.lit("pair:"), F.col("l"), F.lit("-"), F.col("r")).alias("key")))
     )

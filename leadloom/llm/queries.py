@@ -102,7 +102,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p3_found, p3_matches, p4_found, p4_unmatched, p5_found, p6_found, p6_restored, p7_found, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.llm import pii
+
+    return pii.listed(_read(spark, d, "documents"))
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.llm import pii
+
+    return pii.masked(_read(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p3_found, p3_matches, p4_found, p4_unmatched, p5_found, p6_found, p6_restored, p7_found, p8_ids, p9_mix, p9_shares, p10_found, p10_masked)}
 
 SQL: dict[str, str] = {
     "p1_found": """
