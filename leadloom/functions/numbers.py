@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.values import let
+
 # The largest headcount that is believed, and the words dropped around a headcount.
 MAX_HEADCOUNT = 2_000_000
 HEADCOUNT_WORDS = "employees|employee|staff|people|headcount|approx|about"
 
 
+SHAPE = "(?i)^([0-9]+(?:\\.[0-9]+)?)\\s*([kmb]?)$"
+
+
 def scalar_count(c: Column) -> Column:
     """``1,200``, ``1.2k``, ``1000+`` as a whole number; null for anything else."""
-    t = F.trim(F.regexp_replace(F.trim(c), "\\++$", ""))
-    t = F.regexp_replace(t, "[,_]", "")
-    shape = "(?i)^([0-9]+(?:\\.[0-9]+)?)\\s*([kmb]?)$"
-    number = F.expr("1D") * F.regexp_extract(t, shape, 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(t, shape, 2))
-    factor = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
-    return F.when(t.rlike(shape), (number * factor).try_cast("bigint"))
+
+    def read(t: Column) -> Column:
+        number = F.regexp_extract(t, SHAPE, 1).try_cast("double")
+        factor = let(F.lower(F.regexp_extract(t, SHAPE, 2)), lambda u: F.when(u == "k", 1e3).when(u == "m", 1e6).when(u == "b", 1e9).otherwise(1.0))
+        return F.when(t.rlike(SHAPE), (number * factor).try_cast("bigint"))
+
+    return let(F.regexp_replace(F.trim(F.regexp_replace(F.trim(c), "\\++$", "")), "[,_]", ""), read)
 
 
 def parse_employee_count(c: Column | str) -> Column:
@@ -28,9 +33,13 @@ def parse_employee_count(c: Column | str) -> Column:
     t = F.trim(F.regexp_replace(F.regexp_replace(t, "[\\x00-\\x1F\\x7F\\u200B-\\u200F\\uFEFF]", ""), "\\s+", " "))
     t = F.regexp_replace(t, f"(?iU)\\b(?:{HEADCOUNT_WORDS})\\b\\.?", " ")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, "~", " "), ",", ""))
-    parts = F.filter(F.split(t, "(?i)\\s*(?:-|–|—|to)\\s*"), lambda x: F.trim(x) != "")
-    return F.when(F.size(parts) > 1, scalar_count(F.get(parts, F.lit(0)))).otherwise(scalar_count(t))
+
+    def first(t: Column) -> Column:
+        parts = F.filter(F.split(t, "(?i)\\s*(?:-|–|—|to)\\s*"), lambda x: F.trim(x) != "")
+        return let(parts, lambda p: F.when(F.size(p) > 1, F.get(p, F.lit(0))).otherwise(t))
+
+    return scalar_count(let(t, first))
 
 
 def plausible(c: Column) -> Column:
-    return F.when((c >= 0) & (c <= MAX_HEADCOUNT), c)
+    return let(c, lambda n: F.when((n >= 0) & (n <= MAX_HEADCOUNT), n))

@@ -12,6 +12,25 @@ PLACEHOLDERS = ("", "n/a", "-", "none", "null", "unknown")
 EDGE = "[\\s\\u00A0\\u1680\\u2000-\\u200F\\u2028\\u2029\\u202F\\u205F\\u2060\\u3000\\uFEFF]+"
 
 
+def sql_text(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def one_of(c: Column, values) -> Column:
+    """Whether ``c`` is one of fixed values, as one literal instead of one expression for each."""
+    return F.array_contains(F.expr("array(" + ", ".join(map(sql_text, values)) + ")"), c)
+
+
+def looked_up(c: Column, table: dict[str, str]) -> Column:
+    """The value that a fixed table has for ``c``, else null."""
+    return F.try_element_at(F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in table.items()) + ")"), c)
+
+
+def let(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` computed once: in a plain expression tree every use of it would be a copy, and copies of copies grow without end."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def trimmed(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.regexp_replace(F.regexp_replace(c, f"^{EDGE}", ""), f"{EDGE}$", "")
@@ -19,5 +38,4 @@ def trimmed(c: Column | str) -> Column:
 
 def present(c: Column | str) -> Column:
     """The trimmed cell, or null where it is blank or a placeholder in any case."""
-    t = trimmed(c)
-    return F.when(~F.lower(t).isin(*PLACEHOLDERS), t)
+    return let(trimmed(c), lambda t: F.when(~one_of(F.lower(t), PLACEHOLDERS), t))
