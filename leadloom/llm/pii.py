@@ -171,20 +171,36 @@ def network(path: str) -> Network:
 
 
 _LEFT = {
-    "email": re.compile(r"[A-Za-z0-9_.+'-]+$"), "phone": re.compile(r"[\d+(/.-]+$"), "id_number": re.compile(r"[A-Za-z0-9-]+$"),
-    "address": re.compile(r"[\w.]+$"), "name": re.compile(r"[^\W\d_]+$"),
+    "email": re.compile(r"(?:[A-Za-z0-9_+'-]+(?: dot | ?[\[(]dot[\])] ?))*[A-Za-z0-9_.+'-]+\Z"), "phone": re.compile(r"[\d+(/.-]+\Z"), "id_number": re.compile(r"[A-Za-z0-9-]+\Z"),
+    "address": re.compile(r"[\w.]+\Z"), "name": re.compile(r"[a-zA-ZÀ-ɏḀ-ỿЀ-ӿ]+\Z"),
 }
 _FIRST = {
     "email": re.compile(r"[A-Za-z0-9_]"), "phone": re.compile(r"[\d+(]|[a-z]", re.I), "id_number": re.compile(r"[A-Za-z0-9]"),
     "address": re.compile(r"\w"), "name": re.compile(r"[^\W\d_]"),
 }
 # Titles that stand before a name and are no part of it.
-_TITLES = re.compile(r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|m|monsieur|madame|señora?|sra?|el|la)\b\.?\s+", re.I)
+_TITLES = re.compile(r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|monsieur|madame|señora?|sra?|el|la)\b\.?\s+", re.I)
+_AT = re.compile(r"@|[\[(]at[\])]| at ")
+_JAPANESE_NAME = re.compile(r"[一-鿿々ヶ]{1,4}[ 　]?[一-鿿々]{1,3}(?=さん|様|氏)")
+_INNER = re.compile(r"(?:[A-Z]\.|van|von|der|den|de) ")
+_BEFORE = re.compile(r"(?:^|[\s(\"'])([A-ZÀ-ÝĀ-Ž][^\W\d_]+ (?:van |von |de )?)\Z")
+_SPACED = re.compile(r"[a-zA-ZÀ-ɏḀ-ỿЀ-ӿ0-9]")
+
+
+def _lines(text: str, a: int, b: int, kind: str) -> list[tuple[int, int, str]]:
+    """A span over a line break is one mention a line: a stub of a word before the break is none, and a line with an at sign is a mailbox."""
+    out = []
+    for m in re.finditer(r"[^\r\n]+", text[a:b]):
+        x, y = a + m.start(), a + m.end()
+        if y < b and x == a and x > 0 and text[x - 1].isalnum():
+            continue  # begins inside a word and ends with its line
+        out.append((x, y, "email" if kind == "name" and _AT.search(text, x, min(len(text), y + 24)) and "@" in re.split(r"\s", text[x : y + 64] + " ")[0] else kind))
+    return out
 
 
 def mentions(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, kind) from the tags, the ends set to the words they stand in."""
-    out: list[tuple[int, int, str]] = []
+    spans: list[tuple[int, int, str]] = []
     i, n = 0, len(text)
     while i < n:
         if tags[i] == 0:
@@ -194,21 +210,27 @@ def mentions(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
         j = i + 1
         while j < n and tags[j] == 2 + 2 * k:
             j += 1
-        kind = KINDS[k]
-        a, b = i, j
-        if _FIRST[kind].match(text, a) and (m := _LEFT[kind].search(text[max(0, a - 64) : a])):
+        spans += _lines(text, i, j, KINDS[k])
+        i = j
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in spans:
+        if kind == "name" and (m := _JAPANESE_NAME.search(text, max(0, a - 2), min(n, b + 4))) and m.start() < b:
+            a, b = m.start(), m.end()
+        elif _FIRST[kind].match(text, a) and (m := _LEFT[kind].search(text[max(0, a - 64) : a])):
             a -= m.end() - m.start()
         while a < b and not _FIRST[kind].match(text, a):
             a += 1
         if kind == "name" and (m := _TITLES.match(text, a, b)) and m.end() < b:
             a = m.end()
-        while b < n and b > a and kind in ("email", "name", "id_number") and re.match(r"[^\W_]", text[b]) and re.match(r"[^\W_]", text[b - 1]) and text[b - 1].isascii() == text[b].isascii():
+        # An initial or particle is not where a name starts if a capitalised word stands before it.
+        if kind == "name" and _INNER.match(text, a) and (m := _BEFORE.search(text[max(0, a - 40) : a])):
+            a -= len(m[1])
+        while 0 < b < n and b > a and kind in ("email", "name", "id_number") and _SPACED.match(text[b]) and _SPACED.match(text[b - 1]):
             b += 1
         while b > a and text[b - 1].isspace():
             b -= 1
         if b > a and (not out or a >= out[-1][1]):
             out.append((a, b, kind))
-        i = max(j, i + 1)
     return out
 
 
