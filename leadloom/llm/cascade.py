@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leadloom.cluster import cut
 from leadloom.llm import components
-from leadloom.llm.people import forms, one_edit, variants, with_keys
+from leadloom.llm.people import forms, one_edit, taken, variants, with_keys
 
 #: From strong to weak.
 RULES = ("mailbox", "profile", "name", "surname_typo", "given_typo", "initial")
@@ -105,8 +105,7 @@ def _precision(pairs: DataFrame, f: DataFrame) -> DataFrame:
 
 def match(raw: DataFrame, directory: DataFrame, key: str = "seq") -> DataFrame:
     """(raw_seq, directory_seq, rule, confidence) of every pair about the same person at the same company."""
-    both = raw.withColumn("side", F.lit("l")).unionByName(directory.withColumn("side", F.lit("r"))).withColumn("id", F.col(key)).where(F.col(key).isNotNull())
-    f = cut(with_keys(forms(both)))
+    f = cut(with_keys(forms(taken(raw, key, "l").unionByName(taken(directory, key, "r")))))
     left, right = f.where(F.col("side") == "l"), f.where(F.col("side") == "r")
     done_l = done_r = None
     found: list[DataFrame] = []

@@ -216,6 +216,15 @@ def _labels(forms: DataFrame) -> DataFrame:
     return exact.unionByName(near).unionByName(by_core).unionByName(by_near_core)
 
 
+COLUMNS = ("first_name", "last_name", "full_name", "job_title", "email", "phone", "linkedin_url", "company_name", "company_domain", "company_website")
+
+
+def taken(rows: DataFrame, key: str, side: str) -> DataFrame:
+    """The columns that are read, with ``id`` and ``side``, whatever else the table has; rows without an id are left out."""
+    named = rows.where(F.col(key).isNotNull())
+    return named.select(F.col(key).cast("long").alias("id"), F.lit(side).alias("side"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in COLUMNS])
+
+
 def forms(rows: DataFrame) -> DataFrame:
     """Of rows with the lead columns, ``id`` and ``side``: (id, side, company, given, sur, origin, mailbox, slug, bare).
 

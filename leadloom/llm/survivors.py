@@ -59,7 +59,7 @@ def claims(records: DataFrame, kept: DataFrame) -> DataFrame:
     """(dup_group, field, value, source, own, shown): what each source states, in the groups that have a survivor."""
     stated = F.array_distinct(F.filter(F.transform(F.concat(F.array("source.provider"), F.coalesce("source.sources", F.array().cast("array<string>"))), lambda x: F.lower(present(x))), lambda x: x.isNotNull()))
     cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in FIELDS]
-    rows = records.join(kept.select("dup_group", F.col("record_id").alias("survivor")), "dup_group")
+    rows = records.select("record_id", "dup_group", "person", "company", "source").join(kept.select("dup_group", F.col("record_id").alias("survivor")), "dup_group")
     rows = rows.select("dup_group", (F.col("record_id") == F.col("survivor")).alias("own"), F.when(F.size(stated) > 0, stated).otherwise(F.array(F.lit("?"))).alias("stated"), F.explode(F.array(*cells)).alias("c"))
     rows = rows.select("dup_group", "own", "stated", "c.field", present("c.raw").alias("shown")).where(F.col("shown").isNotNull())
     folded = F.col("field").isin(*[f for f, (_, x) in FIELDS.items() if x])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from leadloom.cluster import cut
 from leadloom.llm import components
-from leadloom.llm.people import forms, with_keys
+from leadloom.llm.people import forms, taken, with_keys
 
 SUFFIX = 6
 LONGER = 9
@@ -136,8 +136,7 @@ def row_pairs(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def link(leads: DataFrame, key: str = "seq") -> DataFrame:
     """(seq_a, seq_b) of every pair of rows that name the same person at the same company, or, without a person, the same organisation."""
-    rows = leads.where(F.col(key).isNotNull()).withColumn("id", F.col(key)).withColumn("side", F.lit(""))
-    f = cut(with_keys(forms(rows)).where(F.col("company").isNotNull()))
+    f = cut(with_keys(forms(taken(leads, key, ""))).where(F.col("company").isNotNull()))
     named = f.where(F.col("origin") == "n")
     who = cut(persons(named))
     people = named.withColumn("form", F.xxhash64("company", "given", "sur")).join(who, "form").select(F.col("id").alias("seq"), F.concat(F.lit("p"), F.col("person")).alias("thing"))
