@@ -216,7 +216,7 @@ def _labels(forms: DataFrame) -> DataFrame:
     return exact.unionByName(near).unionByName(by_core).unionByName(by_near_core)
 
 
-COLUMNS = ("first_name", "last_name", "full_name", "job_title", "email", "phone", "linkedin_url", "company_name", "company_domain", "company_website")
+COLUMNS = ("first_name", "last_name", "full_name", "job_title", "seniority", "email", "phone", "linkedin_url", "company_name", "company_domain", "company_website")
 
 
 def taken(rows: DataFrame, key: str, side: str) -> DataFrame:
@@ -235,7 +235,7 @@ def forms(rows: DataFrame) -> DataFrame:
     own = F.coalesce(host_label(F.col("company_domain")), host_label(F.col("company_website")))
     mail = host_label(mail_host)
     none = lambda c: present(c).isNull()
-    bare = none("first_name") & none("last_name") & none("full_name") & none("job_title") & none("email") & none("phone") & none("linkedin_url")
+    bare = none("first_name") & none("last_name") & none("full_name") & none("job_title") & none("seniority") & none("email") & none("phone") & none("linkedin_url")
     flat = rows.select(
         "id", "side", "first_name", "last_name", "full_name", "company_name", own.alias("label"),
         F.when(~mail.isin(*FREE_MAIL), mail).alias("mail_label"), personal_mailbox("email").alias("mailbox"), profile("linkedin_url").alias("slug"), bare.alias("bare"),
