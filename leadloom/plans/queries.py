@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import labels, numbers, text, urls
 from leadloom.operators import dedup, normalize, qualify, rank, rejects, validate
 from leadloom.plans import contacts as sql
+from leadloom.plans.rejects_sql import REJECTS
 from leadloom.schema import conform
 from leadloom.sinks import files
 
@@ -59,7 +60,7 @@ def annotated(spark: SparkSession, folder: str) -> DataFrame:
 STD = "WITH " + sql.standard() + " "
 
 
-@query()
+@query(REJECTS)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rejects.failures(_read(spark, d, "leads_sample_lines"))
 

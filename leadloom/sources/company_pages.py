@@ -26,7 +26,8 @@ ORGANISATIONS = ("organization", "corporation", "localbusiness", "ngo", "educati
 CONTACT_WORDS = ("contact", "about", "impressum", "kontakt", "company")
 NO_TITLES = ("home", "homepage", "welcome", "index", "start")
 
-FACTS = T.StructType.fromDDL("title string, site_name string, description string, org_name string, org_description string, org_industry string, org_employees string, org_country string, org_city string, same_as array<string>, hrefs array<string>")
+_TEXT = ("title", "site_name", "description", "org_name", "org_description", "org_industry", "org_employees", "org_country", "org_city")
+FACTS = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXT), *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("same_as", "hrefs"))])
 
 
 class _Parser(HTMLParser):

@@ -38,4 +38,5 @@ def trimmed(c: Column | str) -> Column:
 
 def present(c: Column | str) -> Column:
     """The trimmed cell, or null where it is blank or a placeholder in any case."""
-    return let(trimmed(c), lambda t: F.when(~one_of(F.lower(t), PLACEHOLDERS), t))
+    t = trimmed(c)  # two copies that compile are cheaper here than one that is interpreted
+    return F.when(~one_of(F.lower(t), PLACEHOLDERS), t)
