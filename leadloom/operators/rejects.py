@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leadloom.cluster import BROADCAST_ROWS, small
 from leadloom.functions.numbers import parse_employee_count, plausible
-from leadloom.values import present
+from leadloom.values import let, present
 
 # The columns of the layout, in order.
 LAYOUT = (
@@ -51,32 +51,21 @@ def parse(lines: DataFrame) -> DataFrame:
     body = lines.where((F.coalesce(F.col("line_no"), F.lit(0)) != 1) & (F.coalesce(present_line("line"), F.lit("")) != ""))
     body = body.select("line_id", "file_name", "line").join(files, "file_name", "left")
     d = F.coalesce("delimiter", F.lit(","))
-    body = body.select("line_id", d.alias("d"), F.split(F.regexp_replace("line", "\\r?\\n$", ""), '"', -1).alias("seg"))
-    last = F.size("seg") - 1
-    opens = lambda s: (s == "") | F.endswith(s, F.col("d"))
-    closes = lambda s: (s == "") | F.startswith(s, F.col("d"))
-    right = F.transform(
-        "seg",
-        lambda s, i: F.when(i % 2 == 1, True)
-        .when((i == 0) & (last == 0), True)
-        .when(i == 0, opens(s))
-        .when(i == last, closes(s))
-        .otherwise((s == "") | (F.startswith(s, F.col("d")) & F.endswith(s, F.col("d")))),
-    )
-    joined = F.array_join(
-        F.transform(
-            "seg",
-            lambda s, i: F.when(i % 2 == 1, s)
-            .when((s == "") & (i > 0) & (i < last), F.lit('"'))
-            .otherwise(F.replace(s, F.col("d"), F.lit(_CELL_END))),
-        ),
-        "",
-    )
-    return body.select(
-        "line_id",
-        ((last % 2 == 0) & F.forall(right, lambda x: x)).alias("quoting_ok"),
-        F.split(joined, _CELL_END, -1).alias("cells"),
-    )
+    opens = lambda s: (s == "") | F.endswith(s, d)
+    closes = lambda s: (s == "") | F.startswith(s, d)
+
+    def read(seg: Column) -> Column:
+        last = F.size(seg) - 1
+        right = F.transform(
+            seg,
+            lambda s, i: F.when((i % 2 == 1) | (last == 0), True).when(i == 0, opens(s)).when(i == last, closes(s)).otherwise((s == "") | (F.startswith(s, d) & F.endswith(s, d))),
+        )
+        joined = F.transform(seg, lambda s, i: F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.replace(s, d, F.lit(_CELL_END))))
+        return F.struct(((last % 2 == 0) & F.forall(right, lambda x: x)).alias("quoting_ok"), F.split(F.array_join(joined, ""), _CELL_END, -1).alias("cells"))
+
+    # The segments are bound once: copied into the lambdas, they would be cut anew for each of them.
+    shaped = body.select("line_id", let(F.split(F.regexp_replace("line", "\\r?\\n$", ""), '"', -1), read).alias("s"))
+    return shaped.select("line_id", "s.quoting_ok", "s.cells")
 
 
 def present_line(c: str) -> Column:
