@@ -22,7 +22,7 @@ def one(spark, value, f):
         (numbers.parse_employee_count, [("1,200", 1200), ("201-500", 201), ("1.2k", 1200), ("1000+", 1000), ("approx. 250", 250), ("-5", None), ("two", None), ("7 to 9", 7), ("~12 staff", 12)]),
         (lambda c: labels.normalize_country(text.clean_text(c)), [("usa", "US"), ("Deutschland", "DE"), ("sg", "SG"), ("Atlantis", "Atlantis"), ("The Netherlands", "NL")]),
         (labels.coerce_seniority, [("C-Suite", "c_suite"), ("head", "director"), ("Vice President", "vp"), ("zzz", "unknown")]),
-        (labels.infer_seniority, [("Vice President, X", "vp"), ("Vice-President", "c_suite"), ("President", "c_suite"), ("Developer", "unknown"), ("VP/Sales", "vp"), ("International Lead", "intern"), (None, "unknown")]),
+        (labels.infer_seniority, [("Vice President, X", "vp"), ("Vice-President", "c_suite"), ("President", "c_suite"), ("Developer", "unknown"), ("VP/Sales", "vp"), ("International Clerk", "intern"), ("International Lead", "senior"), (None, "unknown")]),
     ],
 )
 def test_functions(spark, f, pairs):
