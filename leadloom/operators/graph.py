@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.cluster import cut
+from leadloom.cluster import cut, plain_plans
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,11 @@ def rewrite(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame) -> DataFrame:
     """(v, label) of every vertex that has an edge: the smallest vertex of its component."""
+    with plain_plans(edges.sparkSession):
+        return _rounds(edges)
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
     labels = cut(links(edges).select(F.col("a").alias("v")).distinct().select("v", F.col("v").alias("label")))
     while not edges.isEmpty():
         least = links(edges).groupBy("a").agg(F.min("b").alias("m"))
