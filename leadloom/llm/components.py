@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.cluster import cut, small
+from leadloom.cluster import cut, plain_plans, small
 from leadloom.llm.keys import external, personal_mailbox, profile
 from leadloom.operators.graph import links, propagate, rewrite
 
@@ -51,6 +51,11 @@ def peel(edges: DataFrame, rounds: int = FRONTIER_ROUNDS) -> tuple[DataFrame | N
 
 def label_graph(edges: DataFrame, rounds: int = FRONTIER_ROUNDS) -> DataFrame:
     """(v, label) of every vertex of ``edges`` (a, b), label the smallest vertex of the component."""
+    with plain_plans(edges.sparkSession):
+        return _label_graph(edges, rounds)
+
+
+def _label_graph(edges: DataFrame, rounds: int) -> DataFrame:
     edges = cut(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     peeled, rest = peel(edges, rounds)
     others = propagate(rest)
@@ -62,7 +67,7 @@ def label_graph(edges: DataFrame, rounds: int = FRONTIER_ROUNDS) -> DataFrame:
     return peeled.unionByName(others.join(peeled.select("v"), "v", "left_anti"))
 
 
-def group(keyed: DataFrame) -> DataFrame:
+def group(keyed: DataFrame, rounds: int = FRONTIER_ROUNDS) -> DataFrame:
     """(id, label) of every id of ``keyed`` (id, key); rows with a null id or key link nothing."""
     keyed = cut(keyed.where(F.col("id").isNotNull() & F.col("key").isNotNull()).select("id", F.xxhash64("key", F.lit(1)).alias("k1"), F.xxhash64("key", F.lit(2)).alias("k2")).distinct())
     stand = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -70,7 +75,7 @@ def group(keyed: DataFrame) -> DataFrame:
     reps = keyed.join(stand, ["k1", "k2"]).groupBy("id").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
     reps = cut(reps)
     pairs = reps.where(F.size("reps") > 1).select(F.col("reps")[0].alias("a"), F.explode(F.slice("reps", 2, 1 << 20)).alias("b"))
-    labels = label_graph(pairs)
+    labels = label_graph(pairs, rounds)
     first = reps.select("id", F.col("reps")[0].alias("v"))
     return first.join(labels, "v", "left").select("id", F.coalesce("label", "v").alias("label"))
 
