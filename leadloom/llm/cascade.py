@@ -8,7 +8,7 @@ all its pairs for which an attribute it doesn't use can tell (profiles, mailboxe
 What agrees within a table on a strong key is one entity, so that all its records share its matches (confidence of rule ``linked``).
 
 Defined results: null or repeated ids are left out or come once; a missing attribute joins nothing; a pair of two known companies that differ is never made;
-a name that fits several persons through an initial is left open; empty tables give no pairs.
+an initial that fits several persons, however often and in whatever spellings each occurs, is left open; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from leadloom.cluster import cut
 from leadloom.llm import components
 from leadloom.llm.people import forms, one_edit, taken, variants, with_keys
+from leadloom.operators.graph import propagate
 
 #: From strong to weak.
 RULES = ("mailbox", "profile", "name", "surname_typo", "given_typo", "initial")
@@ -52,6 +53,44 @@ def rule_keys(rule: str) -> Column:
     return F.array_distinct(F.array_compact(F.transform("alts", lambda a: _key(c, F.substring(a, 1, 1), skel))))
 
 
+def _fitting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, company, skel, initial, k): how many persons of a table an initial fits, where it fits more than one spelling.
+
+    Spellings of a given name at one company and surname are one person if they stand for the same name, are one edit apart, or share a mailbox or profile.
+    A short form of two names that both occur joins neither and is no third person.
+    """
+    both = left.unionByName(right).where(F.col("company").isNotNull() & F.col("skel").isNotNull() & F.col("given").isNotNull())
+    block = ["company", "skel", "initial"]
+    short = both.where(F.char_length("given") == 1).select("company", "skel", F.col("given").alias("initial")).distinct()
+    whole = both.where(F.char_length("given") > 1).select("side", "company", "skel", "given", "alts", "mailbox", "slug", F.explode(F.array_distinct(F.transform("alts", lambda a: F.substring(a, 1, 1)))).alias("initial"))
+    whole = whole.join(short, block, "left_semi")
+    # Only initials that meet two spellings on one side have to be judged; the spellings of both sides then tell what is one person.
+    open_ = whole.groupBy("side", *block).agg(F.count_distinct("given").alias("k")).where(F.col("k") > 1).select(*block).distinct()
+    whole = cut(whole.join(open_, block, "left_semi").withColumn("v", F.xxhash64(*block, "given")))
+    spelled = whole.select(*block, "given", "alts", "v").distinct()
+    stands = spelled.select(*block, "given", "v", F.size("alts").alias("n_alts"), F.explode("alts").alias("alt"))
+    # What a short form may stand for, as far as it occurs or another short form stands for it too.
+    full = stands.where(F.col("n_alts") == 1).select(*block, "alt").distinct()
+    choice = stands.where(F.col("n_alts") > 1).join(full, [*block, "alt"]).groupBy("v").agg(F.count_distinct("alt").alias("choices"))
+    torn = choice.where(F.col("choices") > 1).select("v")
+    firm = lambda f: f.join(torn, "v", "left_anti")
+    near = spelled.where(F.char_length("given") >= 4).select(*block, "given", "v", F.explode(variants(F.col("given"))).alias("key"))
+    a, b = near.select(*block, "key", F.col("v").alias("a"), F.col("given").alias("ga")), near.select(*block, "key", F.col("v").alias("b"), F.col("given").alias("gb"))
+    typos = a.join(b, [*block, "key"]).where((F.col("a") < F.col("b")) & one_edit(F.col("ga"), F.col("gb"))).select("a", "b")
+
+    def stars(f: DataFrame, key: str) -> DataFrame:
+        """Edges from the least spelling that holds a key to the others."""
+        held = f.where(F.col(key).isNotNull()).select(*block, key, "v").distinct()
+        return held.join(held.groupBy(*block, key).agg(F.min("v").alias("a")), [*block, key]).select("a", F.col("v").alias("b"))
+
+    edges = typos.unionByName(stars(firm(stands), "alt")).unionByName(stars(whole, "mailbox")).unionByName(stars(whole, "slug")).where(F.col("a") != F.col("b")).distinct()
+    labels = propagate(cut(edges))
+    # A torn short form that no mailbox, profile or typing error gives to a person counts as none.
+    loose = torn.join(labels, "v", "left_anti")
+    who = whole.join(loose, "v", "left_anti").join(labels, "v", "left")
+    return who.groupBy("side", *block).agg(F.count_distinct(F.coalesce("label", "v")).alias("k"))
+
+
 def _pairs(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
     """(l, r) of records that join by a rule and don't contradict each other."""
     # Only ids and keys are spread over the variants; the attributes follow for the few that meet.
@@ -80,9 +119,10 @@ def _pairs(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
         p = p.where((F.col("l_given") != F.col("r_given")) & one_edit(F.col("l_given"), F.col("r_given")))
     if rule == "initial":
         # An initial that fits two persons names neither.
+        fits = cut(_fitting(left, right))
         for me, other in (("l", "r"), ("r", "l")):
-            many = p.where(F.char_length(f"{me}_given") == 1).groupBy(me).agg(F.count_distinct(F.when(F.char_length(f"{other}_given") > 1, F.col(f"{other}_given"))).alias("k")).where(F.col("k") > 1)
-            p = p.join(many.select(me), me, "left_anti")
+            many = fits.where((F.col("side") == other) & (F.col("k") > 1)).select(F.col("company").alias(f"{me}_company"), F.col("skel").alias(f"{me}_skel"), F.col("initial").alias(f"{me}_given"))
+            p = p.join(many, many.columns, "left_anti")
     return p.select("l", "r").distinct()
 
 

@@ -56,6 +56,19 @@ def test_cascade(spark):
     assert cascade.match(raw, directory.limit(0)).count() == 0
 
 
+def test_cascade_initial_of_one_person(spark):
+    from leadloom.llm import cascade
+
+    at = dict(company_domain="acme.example")
+    raw = leads(spark, dict(seq=1, full_name="R. Smith", **at), dict(seq=2, full_name="K. Jonson", **at), dict(seq=3, full_name="A. Weber", **at), dict(seq=4, full_name="D. Moss", **at))
+    directory = leads(
+        spark, dict(seq=100, full_name="Robert Smith", **at), dict(seq=101, full_name="Bob Smith", **at), dict(seq=102, full_name="Katherine Jonson", **at), dict(seq=103, full_name="Kathrine Jonson", **at),
+        dict(seq=104, full_name="Alexander Weber", **at), dict(seq=105, full_name="Alexandra Weber", **at), dict(seq=106, full_name="Alex Weber", **at), dict(seq=107, full_name="Dan Moss", **at), dict(seq=108, full_name="Dora Moss", **at),
+    )
+    got = {(r.raw_seq, r.directory_seq) for r in cascade.match(raw, directory).collect()}
+    assert got == {(1, 100), (1, 101), (2, 102), (2, 103)}
+
+
 def test_canon(spark):
     from leadloom.llm import canon
 
