@@ -1,7 +1,7 @@
 """Records of two tables that describe the same person, matched without a common key.
 
-A deterministic cascade: each rule is an exact join on one combination of attributes, strong ones first; what a rule has resolved is anti-joined
-before the next, weaker one, which therefore only adds pairs of which at least one record is open. A rule's confidence is its labelled precision: of
+A deterministic cascade: each rule is an exact join on one combination of attributes, strong ones first. A weaker rule adds every pair of which a record is
+open, and of two resolved records those that nothing contradicts: not known profiles that differ, and not two spellings that are each matched by whole name. A rule's confidence is its labelled precision: of
 all its pairs for which an attribute it doesn't use can tell (profiles, mailboxes or names present on both sides), the share that agrees, smoothed by
 (hits + 1) / (pairs + 2). Mailboxes agree by initial and surname, as one person has several.
 
@@ -92,7 +92,7 @@ def _fitting(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
-    """(l, r) of records that join by a rule and don't contradict each other."""
+    """(l, r) of records that join by a rule and don't contradict each other, and their profiles."""
     # Only ids and keys are spread over the variants; the attributes follow for the few that meet.
     a = left.select(F.col("id").alias("l"), F.explode(rule_keys(rule)).alias("key"))
     b = right.select(F.col("id").alias("r"), F.explode(rule_keys(rule)).alias("key"))
@@ -123,7 +123,21 @@ def _pairs(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
         for me, other in (("l", "r"), ("r", "l")):
             many = fits.where((F.col("side") == other) & (F.col("k") > 1)).select(F.col("company").alias(f"{me}_company"), F.col("skel").alias(f"{me}_skel"), F.col("initial").alias(f"{me}_given"))
             p = p.join(many, many.columns, "left_anti")
-    return p.select("l", "r").distinct()
+    return p.select("l", "r", "l_slug", "r_slug").distinct()
+
+
+def _known(pairs: DataFrame, rule: str, before: DataFrame | None) -> DataFrame:
+    """(side, id, slugs, named) of the records that ``pairs`` resolve, added to those ``before``: the profiles of the record and of what it was
+    matched with by mailbox or profile, and whether it was matched by its whole name."""
+    seen = lambda c: F.array("l_slug", "r_slug") if rule in ("mailbox", "profile") else F.array(f"{c}_slug")
+    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("id"), F.array_compact(seen(c)).alias("slugs")) for c in ("l", "r")])).alias("e")
+    rows = pairs.select(ends).select("e.*", F.lit(rule == "name").alias("named"))
+    rows = rows if before is None else before.unionByName(rows)
+    return rows.groupBy("side", "id").agg(F.array_distinct(F.flatten(F.collect_set("slugs"))).alias("slugs"), F.max("named").alias("named"))
+
+
+def _renamed(known: DataFrame, side: str) -> DataFrame:
+    return known.where(F.col("side") == side).select(F.col("id").alias(side), F.col("slugs").alias(f"{side}_slugs"), F.col("named").alias(f"{side}_named"))
 
 
 def _precision(pairs: DataFrame, f: DataFrame) -> DataFrame:
@@ -147,23 +161,31 @@ def match(raw: DataFrame, directory: DataFrame, key: str = "seq") -> DataFrame:
     """(raw_seq, directory_seq, rule, confidence) of every pair about the same person at the same company."""
     f = cut(with_keys(forms(taken(raw, key, "l").unionByName(taken(directory, key, "r")))))
     left, right = f.where(F.col("side") == "l"), f.where(F.col("side") == "r")
-    done_l = done_r = None
     found: list[DataFrame] = []
     judged: list[DataFrame] = []
+    known: DataFrame | None = None
     for rule in RULES:
         every = cut(_pairs(left, right, rule).withColumn("rule", F.lit(rule)))
         judged.append(every)
         new = every
-        if done_l is not None:
-            # What is resolved on both sides is out; an open record may still join a resolved one.
-            new = new.join(done_l, "l", "left").join(done_r, "r", "left").where(F.col("l_done").isNull() | F.col("r_done").isNull()).select("l", "r", "rule")
-        found.append(new)
-        ends_l, ends_r = every.select("l"), every.select("r")
-        done_l = cut((ends_l if done_l is None else done_l.select("l").unionByName(ends_l)).distinct().withColumn("l_done", F.lit(True)))
-        done_r = cut((ends_r if done_r is None else done_r.select("r").unionByName(ends_r)).distinct().withColumn("r_done", F.lit(True)))
+        if known is not None:
+            # An open record may join any other; two resolved ones only where what is known of them does not tell them apart.
+            new = new.join(_renamed(known, "l"), "l", "left").join(_renamed(known, "r"), "r", "left")
+            apart = (F.size("l_slugs") > 0) & (F.size("r_slugs") > 0) & ~F.arrays_overlap("l_slugs", "r_slugs")
+            if rule in ("surname_typo", "given_typo"):
+                # Both spellings occur in both tables: two persons, not a typing error.
+                apart = apart | (F.col("l_named") & F.col("r_named"))
+            if rule not in ("mailbox", "profile"):
+                new = new.where(~F.coalesce(apart, F.lit(False)))
+        found.append(new.select("l", "r", "rule"))
+        if rule != RULES[-1]:
+            known = cut(_known(every, rule, known))
     direct = found[0]
     for x in found[1:]:
         direct = direct.unionByName(x)
+    # A pair that several rules find is the strongest one's.
+    rank = F.array_position(F.lit(list(RULES)), F.col("rule"))
+    direct = cut(direct.groupBy("l", "r").agg(F.min_by("rule", rank).alias("rule")))
     # Entities of either table: what agrees on a strong key.
     strong = f.select("id", "side", "company", F.explode(F.concat(*[F.transform(rule_keys(r), lambda k, r=r: F.xxhash64(F.lit(r), k)) for r in ("mailbox", "profile", "name")])).alias("key"))
     linked = F.concat_ws("\u0001", "side", F.coalesce("company", F.lit("")), F.col("key").cast("string"))
@@ -173,7 +195,7 @@ def match(raw: DataFrame, directory: DataFrame, key: str = "seq") -> DataFrame:
     entity = cut(components.group(graph).join(f.select("id", "side").distinct(), "id"))
     l = entity.where(F.col("side") == "l").select("label", F.col("id").alias("l"))
     r = entity.where(F.col("side") == "r").select("label", F.col("id").alias("r"))
-    pairs = l.join(r, "label").select("l", "r").join(direct.groupBy("l", "r").agg(F.first("rule").alias("rule")), ["l", "r"], "left").fillna("linked", ["rule"])
+    pairs = l.join(r, "label").select("l", "r").join(direct, ["l", "r"], "left").fillna("linked", ["rule"])
     pairs = cut(pairs)
     every = pairs.where(F.col("rule") == "linked")
     for x in judged:

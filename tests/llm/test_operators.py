@@ -69,6 +69,24 @@ def test_cascade_initial_of_one_person(spark):
     assert got == {(1, 100), (1, 101), (2, 102), (2, 103)}
 
 
+def test_cascade_links_resolved_records(spark):
+    from leadloom.llm import cascade
+
+    at = dict(company_domain="acme.example")
+    page = "https://linkedin.example/in/"
+    # One person: 1-100 by mailbox, 2-101 by profile, 1-101 by a typing error only. Two persons: 3-102 and 4-103, each by whole name.
+    raw = leads(
+        spark, dict(seq=1, full_name="Anna Martin", email="anna@acme.example", **at), dict(seq=2, full_name="A. M. Marrtn", linkedin_url=page + "am-1", **at),
+        dict(seq=3, full_name="Paul Hansen", **at), dict(seq=4, full_name="Paul Hanson", **at),
+    )
+    directory = leads(
+        spark, dict(seq=100, full_name="Q. Other", email="anna@acme.example", **at), dict(seq=101, full_name="Anna Matin", linkedin_url=page + "am-1", **at),
+        dict(seq=102, full_name="Paul Hansen", **at), dict(seq=103, full_name="Paul Hanson", **at),
+    )
+    got = {(r.raw_seq, r.directory_seq) for r in cascade.match(raw, directory).collect()}
+    assert got == {(1, 100), (1, 101), (2, 100), (2, 101), (3, 102), (4, 103)}
+
+
 def test_canon(spark):
     from leadloom.llm import canon
 
