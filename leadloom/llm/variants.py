@@ -1,9 +1,9 @@
 """Rows that name the same person, or the same organisation, under different spellings.
 
-Suffix blocking: the sounds of surnames are indexed by their ending of at least ``SUFFIX`` letters within the company. A block with too many members is not
-dropped but refined: by the given name's initial (under any name it may stand for), then by longer endings. A second index (given name and the surname's start)
-meets the variants whose ending is what differs, a third the rows that share a mailbox or profile. Pairs of a block are compared by the ratio of
-their longest common subsequence.
+Blocks are exact: two names are spellings of one by a shared given name and near surnames, by one surname and near given names, or over a shared mailbox or profile.
+So the first index holds company and given name (under any name it may stand for), the second company, surname sound and the given name with a letter left out, the
+third mailbox and profile. A common block of the first is refined by what remains of a surname after deletions, which near surnames share: no pair that
+qualifies is lost by the size of a block or by where the letters differ. Surnames are compared by the ratio of their longest common subsequence.
 
 Names are compared as forms (distinct company, given name, surname), so that a name carried by many rows is compared once. Forms that match make persons;
 a form with an initial joins the only person it fits. The pairs of rows come last, and persons or organisations with many rows are split into chunks, whose
@@ -18,17 +18,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.cluster import cut
 from leadloom.llm import components
 from leadloom.llm.people import forms, taken, with_keys
+from leadloom.llm.people import one_edit as near
+from leadloom.llm.people import variants as deleted
 
-SUFFIX = 6
-LONGER = 9
-#: Members from which on a block is refined.
-REFINE = 64
+#: Members from which on a block is refined, without a pair less, and length from which on a surname is not taken apart for it.
+REFINE = 256
+LONG = 14
 RATIO = 0.85
 #: Ratio that is enough for rows of one mailbox or profile.
 RATIO_LINKED = 0.6
@@ -80,19 +81,49 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[ok, ["a", "b"]]
 
 
-def refined(index: DataFrame) -> DataFrame:
-    """(form, block) of (form, company, skel, alts): endings, refined where they are common."""
-    end = lambda n: F.when(F.char_length("skel") > n, F.right(F.col("skel"), F.lit(n))).otherwise(F.col("skel"))
-    first = index.withColumn("block", F.concat_ws("\u0001", "company", end(SUFFIX)))
-    sized = first.join(first.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block")
-    sized = cut(sized)
-    fine = sized.where(F.col("n") <= REFINE).select("form", "block")
-    more = sized.where(F.col("n") > REFINE).withColumn("initial", F.explode(F.array_distinct(F.transform("alts", lambda a: F.substring(a, 1, 1)))))
-    more = more.withColumn("block", F.concat_ws("\u0001", "block", "initial")).drop("n")
-    sized = cut(more.join(more.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block"))
-    fine = fine.unionByName(sized.where(F.col("n") <= REFINE).select("form", "block"))
-    last = sized.where(F.col("n") > REFINE).select("form", F.concat_ws("\u0001", "block", end(LONGER)).alias("block"))
-    return fine.unionByName(last)
+def deletions(skel: str) -> list[str]:
+    """The name with up to as many letters left out as a name within ``RATIO`` of it may lack."""
+    # Of lengths n and m with c letters in common 2c >= RATIO (n + m), and m >= c: n lacks at most this many.
+    most = int(len(skel) * (2 - 2 * RATIO) / (2 - RATIO) + 1e-9)
+    found = now = {skel}
+    for _ in range(most):
+        now = {t[:i] + t[i + 1 :] for t in now for i in range(len(t))}
+        found = found | now
+    return sorted(found)
+
+
+def _refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keys = [(deletions(x) if len(x) < LONG else []) + (["*"] if len(x) >= LONG * RATIO / (2 - RATIO) else []) for x in b["skel"]]
+        yield b.assign(block=[[f"{k}\u0001{x}" for x in xs] for k, xs in zip(b["block"], keys)]).explode("block").dropna(subset=["block"])[["form", "skel", "block"]]
+
+
+def alike(a: Column, b: Column) -> Column:
+    """What every two surnames within ``RATIO`` fulfil: a common subsequence bounds the edits."""
+    return F.levenshtein(a, b) <= (1 - RATIO) * (F.char_length(a) + F.char_length(b)) + 1e-9
+
+
+def same_given(full: DataFrame) -> DataFrame:
+    """(a, b) of the forms of one company that share a given name and have surnames that may be within ``RATIO``: all such pairs, whatever the size of a block.
+
+    In a block of more than ``REFINE`` forms only those meet that have a common remainder after deletions, which holds for all pairs within ``RATIO``;
+    surnames of ``LONG`` letters and more, which have too many remainders, meet each other and the ones near that length directly.
+    """
+    index = full.select("form", "skel", "company", F.explode("alts").alias("alt")).select("form", "skel", F.concat_ws("\u0001", "company", "alt").alias("block"))
+    sized = cut(index.join(index.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block"))
+    fine = sized.where(F.col("n") <= REFINE).select("form", "skel", "block")
+    more = sized.where(F.col("n") > REFINE).select("form", "skel", "block").mapInPandas(_refine, "form long, skel string, block string")
+    blocks = fine.unionByName(more)
+    a, b = (blocks.select(F.col("form").alias(s), F.col("skel").alias(f"s{s}"), "block") for s in ("a", "b"))
+    return a.join(b, "block").where((F.col("a") < F.col("b")) & alike(F.col("sa"), F.col("sb"))).select("a", "b")
+
+
+def same_surname(full: DataFrame) -> DataFrame:
+    """(a, b) of the forms of one company and surname sound whose given names are an edit apart."""
+    index = full.where(F.char_length("given") >= 4).select("form", "given", F.xxhash64("company", "skel").alias("own"), F.explode(deleted(F.col("given"))).alias("v"))
+    index = index.withColumn("block", F.xxhash64("own", "v"))
+    a, b = (index.select(F.col("form").alias(s), F.col("given").alias(f"g{s}"), "block") for s in ("a", "b"))
+    return a.join(b, "block").where((F.col("a") < F.col("b")) & near(F.col("ga"), F.col("gb"))).select("a", "b")
 
 
 def persons(f: DataFrame) -> DataFrame:
@@ -102,13 +133,14 @@ def persons(f: DataFrame) -> DataFrame:
     counts = f.groupBy("given").agg(F.count(F.lit(1)).alias("n_given"))
     spelled = cut(spelled.join(counts, "given"))
     full = spelled.where(F.char_length("given") > 1)
-    by_given = full.where(F.char_length("skel") >= 3).select("form", F.explode("alts").alias("alt"), "company", "skel").select("form", F.concat_ws("\u0001", F.lit("g"), "company", "alt", F.substring("skel", 1, 3)).alias("block"))
-    blocks = refined(full.select("form", "company", "skel", "alts")).unionByName(by_given).withColumn("linked", F.lit(False))
     shared = F.explode(F.array_compact(F.array(F.when(F.col("mailbox").isNotNull(), F.concat(F.lit("m:"), "mailbox")), F.when(F.col("slug").isNotNull(), F.concat(F.lit("p:"), "slug")))))
-    linked = f.where(F.char_length("given") > 1).select(key.alias("form"), "company", shared.alias("k")).select("form", F.concat_ws("\u0001", "company", "k").alias("block")).distinct().withColumn("linked", F.lit(True))
-    blocks = cut(blocks.unionByName(linked))
-    a, b = blocks.select(F.col("form").alias("a"), "block", "linked"), blocks.select(F.col("form").alias("b"), "block")
-    pairs = a.join(b, "block").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    linked = f.where(F.char_length("given") > 1).select(key.alias("form"), "company", shared.alias("k")).select("form", F.concat_ws("\u0001", "company", "k").alias("block")).distinct()
+    linked = cut(linked)
+    a, b = linked.select(F.col("form").alias("a"), "block"), linked.select(F.col("form").alias("b"), "block")
+    pairs = a.join(b, "block").where(F.col("a") < F.col("b")).select("a", "b", F.lit(True).alias("linked"))
+    for more in (same_given(full), same_surname(full)):
+        pairs = pairs.unionByName(more.withColumn("linked", F.lit(False)))
+    pairs = pairs.groupBy("a", "b").agg(F.max("linked").alias("linked"))
     side = lambda s: full.select(F.col("form").alias(s), F.col("given").alias(f"g{s}"), F.col("skel").alias(f"s{s}"), F.col("n_given").alias(f"n{s}"), F.col("alts").alias(f"alts_{s}"))
     edges = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_judge, "a long, b long")
     labels = components.label_graph(edges)

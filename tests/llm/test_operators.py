@@ -155,6 +155,15 @@ def test_variants(spark):
     assert variants.row_pairs(many, chunk=4).distinct().count() == variants.row_pairs(many, chunk=4).count() == 435
 
 
+def test_variants_of_any_letter(spark):
+    from leadloom.llm import variants
+
+    at = dict(company_domain="acme.example")
+    names = ["Anna Martin", "Anna Matin", "Paul Fischer", "Paul Ficher", "Rosa Berg"]
+    got = {tuple(r) for r in variants.link(leads(spark, *[dict(seq=i, full_name=n, **at) for i, n in enumerate(names)])).collect()}
+    assert got == {(0, 1), (2, 3)}
+
+
 def test_tokens(spark):
     tiktoken = pytest.importorskip("tiktoken")
     from leadloom.llm import tokens
