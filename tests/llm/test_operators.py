@@ -164,6 +164,29 @@ def test_variants_of_any_letter(spark):
     assert got == {(0, 1), (2, 3)}
 
 
+def test_variants_in_large_blocks(spark, monkeypatch):
+    from leadloom.llm import variants
+
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abdegiklmnoprstu") for _ in range(n))
+    surs = [word(n) for n in range(4, 18) for _ in range(3)]
+    for s in surs[:]:  # one letter or two changed, anywhere
+        for k in (1, 2):
+            t = list(s)
+            for _ in range(k):
+                t[rnd.randrange(len(t))] = rnd.choice("abdegi")
+            surs.append("".join(t))
+    forms = spark.createDataFrame([(i, s, "acme", ["rosa"]) for i, s in enumerate(surs)], "form long, skel string, company string, alts array<string>")
+    want = {(i, j) for i, a in enumerate(surs) for j, b in enumerate(surs) if i < j and variants.ratio(a, b) >= variants.RATIO}
+    for size in (1, 10_000):
+        monkeypatch.setattr(variants, "REFINE", size)
+        assert want <= {tuple(r) for r in variants.same_given(forms).collect()}
+    # A common surname: the given name's first letter is wrong once, in a company of many forms.
+    rows = [dict(seq=i, full_name=f"{word(6)} Hansen", company_domain="acme.example") for i in range(80)] + [dict(seq=100 + i, full_name="Barbara Hansen", company_domain="acme.example") for i in range(12)]
+    got = {tuple(r) for r in variants.link(leads(spark, *rows, dict(seq=200, full_name="Narbara Hansen", company_domain="acme.example"))).collect()}
+    assert (100, 200) in got
+
+
 def test_tokens(spark):
     tiktoken = pytest.importorskip("tiktoken")
     from leadloom.llm import tokens
