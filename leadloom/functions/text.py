@@ -42,17 +42,15 @@ def fold_unicode(df: DataFrame, columns: tuple[str, ...] | list[str]) -> DataFra
     return done.select(*[F.col(f"__folded.{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-@F.pandas_udf(T.StringType())
-def unicode_slug(names: pd.Series) -> pd.Series:
+def slug_of(x: str | None) -> str:
     """Letters and digits of a name in any script, without case, marks and strokes."""
+    t = unicodedata.normalize("NFKD", (x or "").casefold())
+    return "".join(c for c in t if not unicodedata.combining(c) and c.isalnum()).replace("đ", "d")
 
-    def slug(x):
-        if not x:
-            return ""
-        t = unicodedata.normalize("NFKD", x.casefold())
-        return "".join(c for c in t if not unicodedata.combining(c) and c.isalnum()).replace("đ", "d")
 
-    return names.map(slug)
+@F.pandas_udf(T.StringType())
+def unicode_slug(names: pd.Series) -> pd.Series:
+    return names.map(slug_of)
 
 
 def ascii_slug(c: Column | str) -> Column:

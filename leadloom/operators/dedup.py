@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadloom.cluster import cut
-from leadloom.functions.text import ascii_slug
+from leadloom.functions.text import ascii_slug, slug_of, unicode_slug
 from leadloom.functions.vocab import EXACT_KEYS, STRATEGIES
 from leadloom.operators.graph import propagate
 from leadloom.schema import COMPANY, PERSON
@@ -32,7 +32,7 @@ def ordinal(df: DataFrame) -> list:
     return [F.col("src_rank"), F.col("seq")]
 
 
-def _components(df: DataFrame, allowed: tuple[str, ...], merge: bool) -> DataFrame:
+def _components(df: DataFrame, allowed: tuple[str, ...], merge: bool, slug=ascii_slug) -> DataFrame:
     """(id, component) of the records of ``df`` (id, identity_keys, person, company)."""
     keys = df.select("id", F.explode(F.filter("identity_keys", lambda k: k["name"].isin(*allowed))).alias("k")).select("id", F.concat_ws("\u0001", "k.name", "k.value").alias("key"))
     keys = cut(keys)
@@ -46,7 +46,7 @@ def _components(df: DataFrame, allowed: tuple[str, ...], merge: bool) -> DataFra
     crossing = [(k, v) for k, v in (("phone_name", "person.phone"), ("name_domain", "company.domain"), ("name_company", "company.name")) if k in allowed]
     if not merge or not crossing:
         return found
-    own = df.select("id", ascii_slug("person.full_name").alias("name"), F.array_compact(F.array(*[F.when(F.col(v).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(v).alias("value"))) for k, v in crossing])).alias("vals"))
+    own = df.select("id", slug(F.col("person.full_name")).alias("name"), F.array_compact(F.array(*[F.when(F.col(v).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(v).alias("value"))) for k, v in crossing])).alias("vals"))
     before = -1
     while True:
         at = own.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -115,8 +115,9 @@ def scan(rows: list[dict], allowed: tuple[str, ...], merge: bool, slug=None) ->
     return kept, pairs
 
 
-def deduplicate(std: DataFrame, strategy: str = "identity", merge: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The kept records (columns of ``std``) and the pairs (absorbed record, kept record, key, kind).
+def deduplicate(std: DataFrame, strategy: str = "identity", merge: bool = True, unicode: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The kept records (columns of ``std``) and the pairs (absorbed record, kept record, key, kind). ``unicode`` as it was for ``normalize``: names are
+    compared in any script, without marks, else by their ASCII letters.
 
     Defined results: strategy ``none`` keeps everything; records without a key are kept; null and repeated ordinals are told apart by a row id.
     """
@@ -126,7 +127,7 @@ def deduplicate(std: DataFrame, strategy: str = "identity", merge: bool = True)
         return std, spark.createDataFrame([], PAIR_DDL)
     columns = std.columns
     df = cut(std.withColumn("id", F.monotonically_increasing_id()))
-    found = _components(df, allowed, merge)
+    found = _components(df, allowed, merge, unicode_slug if unicode else ascii_slug)
     shared = df.join(found, "id")
     alone = df.join(found.select("id"), "id", "left_anti").select(*columns)
     packed = shared.select("component", F.coalesce("src_rank", F.lit(0)).alias("r"), F.coalesce("seq", F.lit(0)).alias("s"), "id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("record"))
@@ -135,7 +136,7 @@ def deduplicate(std: DataFrame, strategy: str = "identity", merge: bool = True)
         import json
 
         rows = [json.loads(x) for x in part.sort_values(["r", "s", "id"])["record"]]
-        kept, pairs = scan(rows, allowed, merge)
+        kept, pairs = scan(rows, allowed, merge, slug_of if unicode else None)
         return pd.DataFrame({"kept": [*(json.dumps(k) for k in kept), *(None for _ in pairs)], "pair": [*(None for _ in kept), *(json.dumps(p) for p in pairs)]}, dtype=object)
 
     done = cut(packed.groupBy("component").applyInPandas(run, "kept string, pair string"))

@@ -54,6 +54,6 @@ def run(sources: dict, rules: Rules = Rules(), strategy: str = "identity", merge
     if not frames:
         raise RuntimeError(f"every source failed: {errors}")
     annotated = qualify(validate(normalize(rank.union_sources(frames, limit), unicode)), rules).persist()
-    kept, pairs = dedup.deduplicate(annotated.where(F.col("valid") & F.col("failed").isNull()), strategy, merge)
+    kept, pairs = dedup.deduplicate(annotated.where(F.col("valid") & F.col("failed").isNull()), strategy, merge, unicode)
     leads = rank.best_first(kept, max_leads) if sort else (kept.orderBy("src_rank", "seq").limit(max_leads) if max_leads is not None else kept.orderBy("src_rank", "seq"))
     return Result(leads, annotated, pairs, rank.rejections(annotated, pairs), started, errors)

@@ -228,3 +228,9 @@ def clean_raw_leads(spark: SparkSession, d: str) -> DataFrame:
     """raw_leads normalized, checked, qualified and ranked."""
     std = qualify.qualify(validate.validate(normalize.normalize(conform(_read(spark, d, "raw_leads")))), qualify.Rules(min_completeness=0.3))
     return rank.best_first(std.where(F.col("valid") & F.col("failed").isNull()))
+
+
+@query()
+def dedup_raw_leads(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of raw_leads in standard form, with names of every script, without its duplicates."""
+    return dedup.deduplicate(normalize.normalize(conform(_read(spark, d, "raw_leads"))), "identity", unicode=True)[0]

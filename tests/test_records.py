@@ -37,6 +37,14 @@ def test_greedy_dedup_equals_scan(spark):
     assert dedup.deduplicate(std, "none")[0].count() == 60
 
 
+def test_dedup_names_of_any_script(spark):
+    same = [("Анна Иванова", "Анна Иванова"), ("山田太郎", "山田太郎"), ("Nguyễn Văn Đức", "Nguyen Van Duc")]
+    rows = [(10 * i + j, "p", None, name, None, None, "Acme", f"d{i}.io", None) for i, pair in enumerate(same) for j, name in enumerate(pair)]
+    kept, pairs = dedup.deduplicate(normalize.normalize(raw(spark, rows)), "aggressive", unicode=True)
+    assert sorted(r.seq for r in kept.collect()) == [0, 10, 20]
+    assert sorted((r.seq, r.matched_key) for r in pairs.collect()) == [(1, "name_domain"), (11, "name_domain"), (21, "name_domain")]
+
+
 def test_exports(spark, tmp_path):
     std = normalize.normalize(raw(spark, [(1, "csv", "1", "Đặng", "a@b.io", None, "C", None, None)]))
     assert files.write_csv(std, tmp_path / "x.csv") == 1
