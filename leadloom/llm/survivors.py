@@ -11,7 +11,8 @@ pattern counts: the same result as over all values, from a table whose size depe
 
 Defined results: groups need two records or more, a null group is none; a record stating a field through several sources counts for each; a value is
 compared trimmed and, in fields marked so, without case; placeholders are missing; probability ties go to the survivor's own
-value, then to the more often stated, then to the smallest; the extra columns of the input are ignored.
+value, then to the more often stated, then to the smallest; the extra columns of the input are ignored; a link of
+``social_links`` is a claim of its platform and address, joined by U+0001.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ FIELDS = {
     "company.employee_count": (False, False), "company.country": (False, True), "company.city": (False, True),
     "company.linkedin_url": (True, True), "company.description": (False, False), "company.contact_url": (True, True),
 }
+#: Taken where the records have them: the title as it was sent, and each link of a map as a claim ``platform`` + SEP + ``url``.
+RAW_TITLE, LINKS = "person.job_title_raw", "company.social_links"
+SEP = "\u0001"
+MULTI = (*(f for f, (m, _) in FIELDS.items() if m), LINKS)
+FOLDED = (*(f for f, (_, x) in FIELDS.items() if x), LINKS)
 
 ITERATIONS = 8
 #: Beta prior (successes, failures) of sensitivity, and the prior of a value being true. The prior of specificity has its weight in
@@ -59,10 +65,17 @@ def claims(records: DataFrame, kept: DataFrame) -> DataFrame:
     """(dup_group, field, value, source, own, shown): what each source states, in the groups that have a survivor."""
     stated = F.array_distinct(F.filter(F.transform(F.concat(F.array("source.provider"), F.coalesce("source.sources", F.array().cast("array<string>"))), lambda x: F.lower(present(x))), lambda x: x.isNotNull()))
     cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in FIELDS]
+    if "job_title_raw" in records.schema["person"].dataType.names:
+        cells.append(F.struct(F.lit(RAW_TITLE).alias("field"), F.col(RAW_TITLE).cast("string").alias("raw")))
+    cells = F.array(*cells)
+    if "social_links" in records.schema["company"].dataType.names:
+        link = lambda e: F.struct(F.lit(LINKS).alias("field"), F.concat_ws(SEP, F.lower(present(e["key"])), present(e["value"])).alias("raw"))
+        stated_links = F.filter(F.map_entries(LINKS), lambda e: present(e["key"]).isNotNull() & present(e["value"]).isNotNull())
+        cells = F.concat(cells, F.coalesce(F.transform(stated_links, link), F.array().cast("array<struct<field:string,raw:string>>")))
     rows = records.select("record_id", "dup_group", "person", "company", "source").join(kept.select("dup_group", F.col("record_id").alias("survivor")), "dup_group")
-    rows = rows.select("dup_group", (F.col("record_id") == F.col("survivor")).alias("own"), F.when(F.size(stated) > 0, stated).otherwise(F.array(F.lit("?"))).alias("stated"), F.explode(F.array(*cells)).alias("c"))
+    rows = rows.select("dup_group", (F.col("record_id") == F.col("survivor")).alias("own"), F.when(F.size(stated) > 0, stated).otherwise(F.array(F.lit("?"))).alias("stated"), F.explode(cells).alias("c"))
     rows = rows.select("dup_group", "own", "stated", "c.field", present("c.raw").alias("shown")).where(F.col("shown").isNotNull())
-    folded = F.col("field").isin(*[f for f, (_, x) in FIELDS.items() if x])
+    folded = F.col("field").isin(*FOLDED)
     return rows.withColumn("value", F.when(folded, F.lower("shown")).otherwise(F.col("shown")))
 
 
@@ -118,7 +131,7 @@ def fuse(records: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame, D
     top = Window.partitionBy("dup_group", "field")
     judged = judged.withColumn("rank", rank).withColumn("is_best", F.col("rank") == F.max("rank").over(top))
     per_field = judged.groupBy("dup_group", "field").agg(F.min(F.when(F.col("is_best"), F.col("shown"))).alias("best"), F.array_sort(F.collect_set(F.when(F.col("p") >= 0.5, F.col("shown")))).alias("true"))
-    multi = F.col("field").isin(*[f for f, (m, _) in FIELDS.items() if m])
+    multi = F.col("field").isin(*MULTI)
     wide = per_field.groupBy("dup_group").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "best")))).alias("fields"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(multi, F.struct("field", F.when(F.size("true") > 0, F.col("true")).otherwise(F.array("best")).alias("true")))))).alias("kept"),

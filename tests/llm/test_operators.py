@@ -41,6 +41,18 @@ def test_survivors(spark):
     assert survivors.fuse(spark.createDataFrame([], ddl))[0].count() == 0
 
 
+def test_survivors_keep_links_and_raw_title(spark):
+    from leadloom.llm import survivors
+
+    person = "struct<first_name:string,last_name:string,full_name:string,job_title:string,job_title_raw:string,seniority:string,email:string,phone:string,linkedin_url:string>"
+    company = "struct<name:string,domain:string,website:string,industry:string,employee_count:bigint,country:string,city:string,linkedin_url:string,description:string,contact_url:string,social_links:map<string,string>>"
+    ddl = f"record_id long, dup_group long, person {person}, company {company}, source struct<provider:string,collected_at:timestamp,sources:array<string>>, completeness double"
+    rec = lambda i, c, title, links: (i, 1, (None,) * 4 + (title,) + (None,) * 4, (None,) * 10 + (links,), ("p", None, ["s"]), c)
+    best = survivors.fuse(spark.createDataFrame([rec(1, 0.9, None, None), rec(2, 0.5, "CTO @ Acme", {"X": "https://x.example/a", "blog": " "})], ddl))[0].collect()
+    assert best[0].record_id == 1 and best[0].fields["person.job_title_raw"] == "CTO @ Acme"
+    assert best[0].kept["company.social_links"] == ["x\u0001https://x.example/a"]
+
+
 def test_cascade(spark):
     from leadloom.llm import cascade
 
