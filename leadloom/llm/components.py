@@ -72,11 +72,11 @@ def group(keyed: DataFrame, rounds: int = FRONTIER_ROUNDS) -> DataFrame:
     keyed = cut(keyed.where(F.col("id").isNotNull() & F.col("key").isNotNull()).select("id", F.xxhash64("key", F.lit(1)).alias("k1"), F.xxhash64("key", F.lit(2)).alias("k2")).distinct())
     stand = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     # A key held by one row links nothing, but its row may still be linked by another key.
-    reps = keyed.join(stand, ["k1", "k2"]).groupBy("id").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
-    reps = cut(reps)
-    pairs = reps.where(F.size("reps") > 1).select(F.col("reps")[0].alias("a"), F.explode(F.slice("reps", 2, 1 << 20)).alias("b"))
+    reps = cut(keyed.join(stand, ["k1", "k2"]).select("id", "rep").distinct())
+    # Every representative of a row is linked to the row's least one, however many there are.
+    first = cut(reps.groupBy("id").agg(F.min("rep").alias("v")))
+    pairs = reps.join(first, "id").where(F.col("rep") != F.col("v")).select(F.col("v").alias("a"), F.col("rep").alias("b"))
     labels = label_graph(pairs, rounds)
-    first = reps.select("id", F.col("reps")[0].alias("v"))
     return first.join(labels, "v", "left").select("id", F.coalesce("label", "v").alias("label"))
 
 
