@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.cluster import cut, plain_plans
+from leadloom.cluster import cut, scoped
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -25,20 +25,18 @@ def rewrite(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return to.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+@scoped
 def propagate(edges: DataFrame) -> DataFrame:
-    """(v, label) of every vertex that has an edge: the smallest vertex of its component."""
-    with plain_plans(edges.sparkSession):
-        return _rounds(edges)
-
-
-def _rounds(edges: DataFrame) -> DataFrame:
-    labels = cut(links(edges).select(F.col("a").alias("v")).distinct().select("v", F.col("v").alias("label")))
-    while not edges.isEmpty():
-        least = links(edges).groupBy("a").agg(F.min("b").alias("m"))
-        least = cut(least.select(F.col("a").alias("v"), F.least("a", "m").alias("up")))
+    """(v, label) of every vertex that has an edge: the smallest vertex of its component. Vertices are of any ordered type."""
+    labels = None
+    while labels is None or not edges.isEmpty():
+        least = links(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("up"))
         above = least.select(F.col("v").alias("up"), F.col("up").alias("top"))
         root = cut(least.join(above, "up").select("v", F.col("top").alias("label")))
-        moved = root.select(F.col("v").alias("label"), F.col("label").alias("now"))
-        labels = cut(labels.join(moved, "label", "left").select("v", F.coalesce("now", "label").alias("label")))
+        if labels is None:
+            labels = root
+        else:
+            moved = root.select(F.col("v").alias("label"), F.col("label").alias("now"))
+            labels = cut(labels.join(moved, "label", "left").select("v", F.coalesce("now", "label").alias("label")))
         edges = cut(rewrite(edges, root))
     return labels

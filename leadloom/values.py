@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 PLACEHOLDERS = ("", "n/a", "-", "none", "null", "unknown")
 
 #: White space and invisible characters at either end of a cell.
-EDGE = "[\\s\\u00A0\\u1680\\u2000-\\u200F\\u2028\\u2029\\u202F\\u205F\\u2060\\u3000\\uFEFF]+"
+EDGE = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x2010))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+
+
+#: White space as ``str.strip`` takes it.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def sql_text(v: str) -> str:
@@ -32,11 +36,15 @@ def let(c: Column, f) -> Column:
 
 
 def trimmed(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.regexp_replace(c, f"^{EDGE}", ""), f"{EDGE}$", "")
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(EDGE))
+
+
+def stripped(c: Column) -> Column:
+    """The cell without white space at its ends, or null where nothing is left."""
+    return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))
 
 
 def present(c: Column | str) -> Column:
     """The trimmed cell, or null where it is blank or a placeholder in any case."""
     t = trimmed(c)  # two copies that compile are cheaper here than one that is interpreted
-    return F.when(~one_of(F.lower(t), PLACEHOLDERS), t)
+    return F.when(~F.lower(t).isin(*PLACEHOLDERS), t)
