@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,21 @@ def parse_employee_count(c: Column | str) -> Column:
 
 def plausible(c: Column) -> Column:
     return let(c, lambda n: F.when((n >= 0) & (n <= MAX_HEADCOUNT), n))
+
+
+def _whole(text: str) -> int | None:
+    m = re.fullmatch(r"(\d+(?:\.\d+)?)\s*([kmb]?)", re.sub("[,_]", "", text.strip().rstrip("+")).strip(), re.IGNORECASE | re.ASCII)
+    return int(float(m[1]) * {"": 1, "k": 1e3, "m": 1e6, "b": 1e9}[m[2].lower()]) if m else None
+
+
+def band(value) -> tuple[int, int] | None:
+    """Both ends of a headcount band of the configuration (``201-500``, ``201 to 500``, ``201,500``), on the driver; null where it is none."""
+    text = " ".join(str(value if value is not None else "").split())
+    if m := re.fullmatch(r"(\d+) ?, ?(\d+)", text, re.ASCII):
+        low, high = int(m[1]), int(m[2])
+    else:
+        ends = [_whole(x) for x in re.split(r"\s*(?:-|–|—|\bto\b)\s*", text, flags=re.IGNORECASE) if x.strip()]
+        if len(ends) != 2 or None in ends:
+            return None
+        low, high = ends
+    return (low, high) if low <= high else None

@@ -60,7 +60,8 @@ def lead_id(keys: Column) -> Column:
 def normalize(raw: DataFrame, unicode: bool = True) -> DataFrame:
     """src_rank, seq and the standardized record of every raw row. ``unicode``: also fold compatibility forms (one Arrow hop)."""
     slug = text.unicode_slug if unicode else text.ascii_slug
-    df = _clean(raw, unicode)
+    called = label(F.col("email"), F.col("full_name"), F.col("linkedin_url"), F.col("external_id"))
+    df = _clean(raw.withColumn("label", called), unicode)
     c = {x: F.col(x) for x in df.columns}
     # Step by step, so that no expression is copied into the next ones.
     df = df.select(
@@ -94,7 +95,7 @@ def normalize(raw: DataFrame, unicode: bool = True) -> DataFrame:
     source = F.struct(provider.alias("provider"), "external_id", "source_url", F.col("collected_at").cast("timestamp").alias("collected_at"), F.array(provider).alias("sources"))
     # Bound as a whole: else the optimizer copies each field's derivation to wherever it is read, and into every filter that it pushes down.
     whole = lambda s: F.when(F.rand(0) >= 0, s)  # noqa: E731  (always, which the optimizer can't know)
-    std = df.select("src_rank", "seq", whole(person).alias("person"), whole(company).alias("company"), whole(source).alias("source"), "normalization_issues")
+    std = df.select("src_rank", "seq", whole(person).alias("person"), whole(company).alias("company"), whole(source).alias("source"), "normalization_issues", "label")
     std = std.withColumn("completeness", completeness(F.col("person"), F.col("company"))).withColumn("identity_keys", identity_keys(slug))
     return std.withColumn("lead_id", lead_id(F.col("identity_keys")))
 

@@ -46,7 +46,7 @@ def provider_counts(annotated: DataFrame) -> DataFrame:
 
 def rejections(annotated: DataFrame, pairs: DataFrame | None = None, cap: int = MAX_REJECTIONS) -> DataFrame:
     """(phase, src_rank, seq, provider, label, reason, detail): rejected records in input order, then duplicates, ``cap`` of them."""
-    name = F.coalesce("person.email", "person.full_name", "person.linkedin_url", "source.external_id", F.lit("<unidentified>"))
+    name = F.col("label")
     row = lambda reason, detail: (F.lit(0).alias("phase"), "src_rank", "seq", F.col("source.provider").alias("provider"), name.alias("label"), F.lit(reason).alias("reason"), detail.alias("detail"))
     bad = annotated.where(~F.col("valid")).select(*row("validation_failed", F.col("issue_text")))
     out = annotated.where(F.col("valid") & F.col("failed").isNotNull()).select(*row("filtered_out", F.concat_ws(": ", "failed.rule", "failed.detail")))
@@ -54,3 +54,8 @@ def rejections(annotated: DataFrame, pairs: DataFrame | None = None, cap: int =
     if pairs is not None:
         every = every.unionByName(pairs.select(F.lit(1).alias("phase"), "src_rank", "seq", F.col("duplicate_provider").alias("provider"), "label", F.lit("duplicate").alias("reason"), F.concat_ws("=", "matched_key", "matched_value").alias("detail")))
     return every.orderBy("phase", "src_rank", "seq").limit(min(cap, MAX_REJECTIONS))
+
+
+def by_count(counts: DataFrame) -> DataFrame:
+    """(rule, n_records), the most frequent first."""
+    return counts.orderBy(F.desc("n_records"), "rule")

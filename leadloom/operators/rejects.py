@@ -40,17 +40,13 @@ def delimiters(lines: DataFrame) -> DataFrame:
     return head.groupBy("file_name").agg(F.max(F.when(mark != "", mark)).alias("delimiter"))
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """(line_id, quoting_ok, cells) of every record.
+def cells_of(line: Column, d: Column) -> Column:
+    """struct<quoting_ok, cells> of a record's text with the delimiter ``d``.
 
     A line cut at its quote marks alternates between text outside and inside quotes. It keeps the CSV
     rules exactly if the marks pair up, an opening one follows a delimiter or the start, and a closing one
     precedes a delimiter, the end, or (nothing between) the second mark of an escaped quote.
     """
-    files = small(delimiters(lines), BROADCAST_ROWS)
-    body = lines.where((F.coalesce(F.col("line_no"), F.lit(0)) != 1) & (F.coalesce(present_line("line"), F.lit("")) != ""))
-    body = body.select("line_id", "file_name", "line").join(files, "file_name", "left")
-    d = F.coalesce("delimiter", F.lit(","))
     opens = lambda s: (s == "") | F.endswith(s, d)
     closes = lambda s: (s == "") | F.startswith(s, d)
 
@@ -64,7 +60,15 @@ def parse(lines: DataFrame) -> DataFrame:
         return F.struct(((last % 2 == 0) & F.forall(right, lambda x: x)).alias("quoting_ok"), F.split(F.array_join(joined, ""), _CELL_END, -1).alias("cells"))
 
     # The segments are bound once: copied into the lambdas, they would be cut anew for each of them.
-    shaped = body.select("line_id", let(F.split(F.regexp_replace("line", "\\r?\\n$", ""), '"', -1), read).alias("s"))
+    return let(F.split(F.regexp_replace(line, "\\r?\\n$", ""), '"', -1), read)
+
+
+def parse(lines: DataFrame) -> DataFrame:
+    """(line_id, quoting_ok, cells) of every record."""
+    files = small(delimiters(lines), BROADCAST_ROWS)
+    body = lines.where((F.coalesce(F.col("line_no"), F.lit(0)) != 1) & (F.coalesce(present_line("line"), F.lit("")) != ""))
+    body = body.select("line_id", "file_name", "line").join(files, "file_name", "left")
+    shaped = body.select("line_id", cells_of(F.col("line"), F.coalesce("delimiter", F.lit(","))).alias("s"))
     return shaped.select("line_id", "s.quoting_ok", "s.cells")
 
 

@@ -1,14 +1,15 @@
-"""Facts about companies from stored web pages: one record per site.
+"""Facts about companies from web pages: one record per site.
 
 The HTML of a page is parsed in an Arrow UDF (title, meta, JSON-LD, links); everything after it is Column expressions. Pages of a site are folded homepage first: the first
-value of each fact, all mailboxes, the first page of each social platform. A site without any fact gives no record.
+value of each fact, all mailboxes, the first page of each social platform over all pages. A site without any fact gives no record: no name, title, description, mailbox,
+social page, contact page, or property of an organisation.
 """
 
 from __future__ import annotations
 
 import json
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,10 +25,11 @@ DESCRIPTIONS = ("og:description", "description", "twitter:description")
 SITE_NAMES = ("og:site_name", "application-name")
 ORGANISATIONS = ("organization", "corporation", "localbusiness", "ngo", "educationalorganization", "governmentorganization", "medicalorganization", "newsmediaorganization", "onlinebusiness")
 CONTACT_WORDS = ("contact", "about", "impressum", "kontakt", "company")
+NO_PAGES = ("mailto:", "tel:", "javascript:", "#")
 NO_TITLES = ("home", "homepage", "welcome", "index", "start")
 
 _TEXT = ("title", "site_name", "description", "org_name", "org_description", "org_industry", "org_employees", "org_country", "org_city")
-FACTS = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXT), *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("same_as", "hrefs"))])
+FACTS = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXT), *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("same_as", "hrefs")), T.StructField("told", T.BooleanType())])
 
 
 class _Parser(HTMLParser):
@@ -98,6 +100,7 @@ def facts(html: str | None) -> dict:
                 out.setdefault(k, str(v))
         same = o.get("sameAs")
         out["same_as"] += [s for s in (same if isinstance(same, list) else [same]) if isinstance(s, str)]
+    out["told"] = any(k.startswith("org_") for k in out) or bool(out["same_as"])
     return {f.name: out.get(f.name) for f in FACTS}
 
 
@@ -131,11 +134,44 @@ def mailboxes(hrefs: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda m: m.isNotNull())), 1, most)
 
 
-def contact_page(site: Column, pages: Column) -> Column:
-    """The page on the same host that looks most like a contact page."""
-    ranked = F.transform(pages, lambda u, i: F.struct(F.coalesce(*[F.when(F.lower(u).contains(w), n) for n, w in enumerate(CONTACT_WORDS)], F.lit(99)).alias("rank"), i.alias("pos"), u.alias("url")))
-    same = F.filter(ranked, lambda s: (s["rank"] < 99) & (urls.normalize_domain(s["url"]) == site))
-    return F.array_min(same)["url"]
+def contact_page(page: Column, pages: Column) -> Column:
+    """Of the pages (``normalize_page``) that a page links to, the first whose path has the foremost word of contact pages; not the page itself."""
+
+    def ranked(u: Column, i: Column) -> Column:
+        path = F.lower(F.regexp_extract(u, "^https://[^/?#]*([^?#]*)", 1))
+        return F.struct(F.coalesce(*[F.when(path.contains(w), n) for n, w in enumerate(CONTACT_WORDS)], F.lit(99)).alias("rank"), i.alias("pos"), u.alias("url"))
+
+    return F.array_min(F.filter(F.transform(pages, ranked), lambda s: (s["rank"] < 99) & (s["url"] != page)))["url"]
+
+
+def host_of(url: str) -> str:
+    """The host of an address on the driver or in a reader, without port and www."""
+    text = url.strip()
+    return urlsplit(text if "://" in text else f"https://{text}").hostname.lower().removeprefix("www.") if text and " " not in text and urlsplit(text if "://" in text else f"https://{text}").hostname else ""
+
+
+def seed_urls(entries: list[str]) -> list[str]:
+    """``https://host`` of each usable entry, the first of each host."""
+    hosts = dict.fromkeys(h for e in entries if (h := host_of(e)) and "." in h)
+    return [f"https://{h}" for h in hosts]
+
+
+def next_page(html: str, url: str) -> str | None:
+    """The page worth reading after this one: its contact page, as ``contact_page`` finds it."""
+    best: tuple[int, str] | None = None
+    plain = lambda u: u.split("#")[0].rstrip("/")
+    for h in facts(html)["hrefs"]:
+        if h.lower().startswith(NO_PAGES):
+            continue
+        try:
+            to = plain(urljoin(url, h))
+            path = urlsplit(to).path.lower()
+        except ValueError:
+            continue
+        rank = next((n for n, w in enumerate(CONTACT_WORDS) if w in path), None)
+        if rank is not None and to.startswith(("http://", "https://")) and to != plain(url) and (best is None or rank < best[0]):
+            best = rank, to
+    return best[1] if best else None
 
 
 def seeds(pages: DataFrame) -> DataFrame:
@@ -147,18 +183,27 @@ def seeds(pages: DataFrame) -> DataFrame:
 def to_raw(pages: DataFrame, provider: str = "website", src_rank: int = 0) -> DataFrame:
     """One raw record per site of (page_id, url, html) with at least one fact."""
     df = seeds(pages).withColumn("f", page_facts("html"))
-    df = df.withColumn("links", resolved(F.concat(F.lit("https://"), F.regexp_replace("page", "^https://", "")), F.concat(F.coalesce("f.same_as", F.array()), F.coalesce("f.hrefs", F.array()))))
+    base = F.when(F.col("url").rlike("^\\s*[a-zA-Z][a-zA-Z0-9+.-]*://"), F.trim("url")).otherwise(F.concat(F.lit("https://"), F.trim("url")))
+    hrefs = F.filter(F.coalesce("f.hrefs", F.array().cast("array<string>")), lambda h: ~F.lower(h).rlike("^(?:" + "|".join(NO_PAGES) + ")"))
+    df = df.withColumn("declared", resolved(base, F.coalesce("f.same_as", F.array().cast("array<string>")))).withColumn("links", resolved(base, hrefs))
+    df = df.withColumn("pages", F.filter(F.transform("links", lambda u: urls.normalize_page(text.clean_text(u))), lambda u: u.isNotNull()))
     df = df.select(
-        "site", "page_id", "page", "f", mailboxes(F.col("f.hrefs")).alias("mails"), urls.social_links(F.col("links")).alias("social"), contact_page(F.col("site"), F.col("links")).alias("contact"),
+        "site", "page_id", "page", "f", mailboxes(F.col("f.hrefs")).alias("mails"), urls.social_links(F.concat("declared", "links")).alias("social"), contact_page(F.col("page"), F.col("pages")).alias("contact"),
         F.struct((F.col("page") != F.concat(F.lit("https://"), F.col("site"))).alias("inner"), F.col("page_id")).alias("order"),
     )
+    # A platform's first page over all pages of the site: one row a platform, then the least in page order.
+    links = df.select("site", "order", F.explode_outer(F.map_entries("social")).alias("s")).where(F.col("s").isNotNull())
+    links = links.groupBy("site", F.col("s.key").alias("platform")).agg(F.min_by("s.value", "order").alias("url"))
+    links = links.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("platform", "url")))).alias("social"))  # no more than there are platforms
     first = lambda c, name: F.min_by(c, F.when(c.isNotNull(), F.col("order"))).alias(name)
+    given = lambda c: text.clean_text(F.col(f"f.{c}"))
     site = df.groupBy("site").agg(
-        F.min("page_id").alias("seq"), first(F.col("f.org_name"), "org_name"), first(F.col("f.site_name"), "site_name"), first(clean_title(F.col("f.title")), "title"), first(F.col("f.org_description"), "org_description"),
-        first(F.col("f.description"), "description"), first(F.col("f.org_industry"), "industry"), first(F.col("f.org_employees"), "employees"), first(F.col("f.org_country"), "country"), first(F.col("f.org_city"), "city"),
-        first(F.get("mails", F.lit(0)), "email"), first(F.when(F.size("social") > 0, F.col("social")), "social"), first(F.col("contact"), "contact"),
+        F.min("page_id").alias("seq"), first(given("org_name"), "org_name"), first(given("site_name"), "site_name"), first(given("title"), "title"), first(given("org_description"), "org_description"),
+        first(given("description"), "description"), first(given("org_industry"), "industry"), first(given("org_employees"), "employees"), first(given("org_country"), "country"), first(given("org_city"), "city"),
+        first(F.get("mails", F.lit(0)), "email"), first(F.col("contact"), "contact"), F.max("f.told").alias("told"),
     )
-    told = F.coalesce("org_name", "site_name", "title", "org_description", "description", "industry", "email").isNotNull()
+    site = site.join(links, "site", "left").withColumn("title", clean_title(F.col("title")))
+    told = F.coalesce("told", F.lit(False)) | F.coalesce("site_name", "title", "description", "email", "contact").isNotNull() | F.col("social").isNotNull()
     rows = site.where(told).select(
         "seq", F.lit(provider).alias("provider"), F.col("site").alias("external_id"), F.concat(F.lit("https://"), F.col("site")).alias("source_url"), "email", F.coalesce("org_name", "site_name", "title").alias("company_name"),
         F.col("site").alias("company_domain"), F.concat(F.lit("https://"), F.col("site")).alias("company_website"), F.col("industry").alias("company_industry"), F.col("employees").alias("company_employee_count"),
@@ -168,8 +213,28 @@ def to_raw(pages: DataFrame, provider: str = "website", src_rank: int = 0) -> Da
     return conform(rows, provider, src_rank)
 
 
-def scrub(html: Column) -> Column:
-    """HTML without tokens and keys: values of secret-looking parameters and attributes become ``***``."""
-    return F.regexp_replace(html, "(?i)((?:token|secret|password|api[_-]?key|session|auth)[\\w-]*[\"']?\\s*[=:]\\s*[\"']?)[^\"'&\\s<>]{4,}", "$1***")
+# What names a credential in pages and addresses.
+_SECRET_NAME = "(?:[\\w-]*(?:token|secret|passw(?:or)?d|api[_-]?key|apikey|session(?:id)?|sid|auth|csrf|credential|bearer)[\\w-]*)"
+_SCRUBS = (
+    (f"(?i)(\\b{_SECRET_NAME}[\"']?\\s*[=:]\\s*[\"']?)[^\"'&\\s<>]{{4,}}", "$1***"),
+    (f"(?i)(name=[\"']{_SECRET_NAME}[\"'][^>]*?(?:value|content)=[\"'])[^\"']*", "$1***"),
+    (f"(?i)((?:value|content)=[\"'])[^\"']*([\"'][^>]*?name=[\"']{_SECRET_NAME}[\"'])", "$1***$2"),
+    ("(?i)(bearer\\s+)[\\w.~+/=-]{8,}", "$1***"),
+    ("(?i)(\\w+://)[^/@\\s\"']+:[^/@\\s\"']+@", "$1***@"),
+    ("\\beyJ[\\w-]{8,}\\.[\\w-]{8,}\\.[\\w-]*", "***"),
+)
 
 
+def scrub(html: Column) -> Column:
+    """HTML or an address without credentials: values of secret-looking parameters, attributes and fields, bearer and JSON web tokens, and passwords in addresses become ``***``."""
+    for pattern, by in _SCRUBS:
+        html = F.regexp_replace(html, pattern, by)
+    return html
+
+
+def leaks(html: Column, values: list[str] = ()) -> Column:
+    """Whether something that looks like a credential, or one of ``values``, is left: such a text must not be written."""
+    found = F.coalesce(html.rlike("(?i)bearer\\s+[\\w.~+/=-]{8,}|\\beyJ[\\w-]{8,}\\.[\\w-]{8,}\\."), F.lit(False))
+    for v in values:
+        found = found | F.coalesce(html.contains(v), F.lit(False))
+    return found

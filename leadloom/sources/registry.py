@@ -56,3 +56,20 @@ def _synthetic(spark: SparkSession, path: str = "", n: int = 100, **options) ->
     from leadloom.sources import synthetic
 
     return synthetic.generate(spark, int(n), **options)
+
+
+@register("people_search")
+def _people_search(spark: SparkSession, path: str = "", *, settings, criteria: dict, limit: int | None = None, http=None, opener: str = "", **options) -> DataFrame:
+    from leadloom.settings import Http
+    from leadloom.sources import live, people_pages
+
+    found = people_pages.to_raw(people_pages.people(live.people(spark, settings, criteria, limit, http or Http(), opener)), **options)
+    return found if limit is None else found.orderBy("seq").limit(limit)
+
+
+@register("company_site")
+def _company_site(spark: SparkSession, path: str = "", *, settings, limit: int | None = None, http=None, opener: str = "", **options) -> DataFrame:
+    from leadloom.settings import Http
+    from leadloom.sources import company_pages, live
+
+    return company_pages.to_raw(live.sites(spark, settings, limit, http or Http(), opener), **options)
