@@ -65,11 +65,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rejects.failures(_read(spark, d, "leads_sample_lines"))
 
 
-@query()
-def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.load(_read(spark, d, "leads_sample_lines"))
-
-
 @query(STD + "SELECT seq, p_email AS email, p_phone AS phone FROM std")
 def norm_email_phone(spark: SparkSession, d: str) -> DataFrame:
     return contacts(spark, d).select("seq", text.normalize_email(text.clean_text("email")).alias("email"), text.normalize_phone(text.clean_text("phone")).alias("phone"))

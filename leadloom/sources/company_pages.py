@@ -216,7 +216,7 @@ def to_raw(pages: DataFrame, provider: str = "website", src_rank: int = 0) -> Da
 # What names a credential in pages and addresses.
 _SECRET_NAME = "(?:[\\w-]*(?:token|secret|passw(?:or)?d|api[_-]?key|apikey|session(?:id)?|sid|auth|csrf|credential|bearer)[\\w-]*)"
 _SCRUBS = (
-    (f"(?i)(\\b{_SECRET_NAME}[\"']?\\s*[=:]\\s*[\"']?)[^\"'&\\s<>]{{4,}}", "$1***"),
+    (f"(?i)(\\b{_SECRET_NAME}[\"']?\\s*[=:]\\s*[\"']?)(?!bearer\\b)[^\"'&\\s<>]{{4,}}", "$1***"),
     (f"(?i)(name=[\"']{_SECRET_NAME}[\"'][^>]*?(?:value|content)=[\"'])[^\"']*", "$1***"),
     (f"(?i)((?:value|content)=[\"'])[^\"']*([\"'][^>]*?name=[\"']{_SECRET_NAME}[\"'])", "$1***$2"),
     ("(?i)(bearer\\s+)[\\w.~+/=-]{8,}", "$1***"),
