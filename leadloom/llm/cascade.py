@@ -1,14 +1,19 @@
 """Records of two tables that describe the same person, matched without a common key.
 
-A deterministic cascade: each rule is an exact join on one combination of attributes, strong ones first. A weaker rule adds every pair of which a record is
-open, and of two resolved records those that nothing contradicts: not known profiles that differ, and not two spellings that are each matched by whole name. A rule's confidence is its labelled precision: of
-all its pairs for which an attribute it doesn't use can tell (profiles, mailboxes or names present on both sides), the share that agrees, smoothed by
-(hits + 1) / (pairs + 2). Mailboxes agree by initial and surname, as one person has several.
+A deterministic cascade over the distinct names of the records (company, given name, surname; what has no whole name stands for itself). The strong rules
+come first: a common mailbox, a common profile, the same name, each an exact join inside the company. What they link is one person, in either table or
+across. A weaker rule (one edit in the surname, then in the given name, then an initial) is an exact join of the persons that are still open, those of one table only,
+with all others: resolved ones are anti-joined away before. Resolved persons may still join each other in the two rules of typing errors, unless
+something known contradicts it: profiles on both sides, or names that occur in both tables in either spelling.
 
-What agrees within a table on a strong key is one entity, so that all its records share its matches (confidence of rule ``linked``).
+The confidence of a rule is its labelled precision: of its pairs that are labelled, the share that is right, smoothed by (hits + 1) / (pairs + 2). Labels
+are given as a table, or else taken from an attribute that the rule does not use, the strongest that both records have: profile, mailbox (initial and
+longest part, as one person has several), name. Contradicting profiles count as a miss, whatever else agrees.
+
+All pairs of one person come out, with the strongest rule that holds for the two records, or ``linked`` where only others connect them.
 
 Defined results: null or repeated ids are left out or come once; a missing attribute joins nothing; a pair of two known companies that differ is never made;
-an initial that fits several persons, however often and in whatever spellings each occurs, is left open; empty tables give no pairs.
+an initial that fits several persons, and a short form of two names that both occur, are left open; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -16,190 +21,191 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.cluster import cut
+from leadloom.cluster import cut, scoped, small
 from leadloom.llm import components
-from leadloom.llm.people import forms, one_edit, taken, variants, with_keys
+from leadloom.llm.people import digest, forms, one_edit, taken, variants, with_keys
 from leadloom.operators.graph import propagate
 
 #: From strong to weak.
 RULES = ("mailbox", "profile", "name", "surname_typo", "given_typo", "initial")
-
-
-def _key(*parts: Column) -> Column:
-    """The parts as one number, null where one is missing."""
-    ok = parts[0].isNotNull()
-    for p in parts[1:]:
-        ok = ok & p.isNotNull()
-    return F.when(ok, F.xxhash64(*parts))
-
-
-def rule_keys(rule: str) -> Column:
-    """The keys (an array of numbers) under which a record joins by this rule."""
-    c, skel, given = F.col("company"), F.col("skel"), F.col("given")
-    whole = F.char_length("given") > 1
-    one = lambda k: F.array_compact(F.array(k))
-    none = F.array().cast("array<bigint>")
-    if rule == "mailbox":
-        return one(_key(F.col("mailbox")))
-    if rule == "profile":
-        return one(_key(F.col("slug")))
-    if rule == "name":
-        return F.when(whole, F.array_compact(F.transform("alts", lambda a: _key(c, a, skel)))).otherwise(none)
-    if rule == "surname_typo":
-        near = F.flatten(F.transform(F.col("alts"), lambda a: F.transform(variants(skel), lambda v: _key(c, a, v))))
-        return F.when(whole & (F.char_length("skel") >= 4), F.array_compact(near)).otherwise(none)
-    if rule == "given_typo":
-        return F.when(whole & (F.char_length("given") >= 4), F.array_compact(F.transform(variants(given), lambda v: _key(c, v, skel)))).otherwise(none)
-    return F.array_distinct(F.array_compact(F.transform("alts", lambda a: _key(c, F.substring(a, 1, 1), skel))))
-
-
-def _fitting(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(side, company, skel, initial, k): how many persons of a table an initial fits, where it fits more than one spelling.
-
-    Spellings of a given name at one company and surname are one person if they stand for the same name, are one edit apart, or share a mailbox or profile.
-    A short form of two names that both occur joins neither and is no third person.
+#: Letters from which on a name may hold a typing error.
+LONG = 4
+#: Names that share a company and a given name, or a surname, up to which all of them are compared.
+FEW = 16
+#: Records of one person and table from which on its pairs are made in chunks.
+CHUNK = 1_000
+
+
+def _vertices(f: DataFrame) -> DataFrame:
+    """(v, company, given, skel, alts, whole, l, r, paged): every vertex of the records, in which tables it occurs, and whether a profile of it is known."""
+    side = lambda s: F.max(F.col("side") == s).alias(s)
+    # All of what ``v`` is a number for: two vertices of one number would come out as two rows.
+    own = ("v", "whole", "company", "given", "skel", "alts", F.when(~F.col("whole"), F.col("mailbox")).alias("own_mailbox"), F.when(~F.col("whole"), F.col("slug")).alias("own_slug"))
+    return f.groupBy(*own).agg(side("l"), side("r"), F.max(F.col("slug").isNotNull()).alias("paged"))
+
+
+def _firm(names: DataFrame) -> DataFrame:
+    """(v, alt): what each name stands for. A short form of several names stands for the only one of them that occurs at its company with its
+    surname, or for itself if none does; where several occur, for none."""
+    one = names.where(F.size("alts") == 1).select("v", F.get("alts", F.lit(0)).alias("alt"))
+    short = names.where(F.size("alts") > 1)
+    meant = short.select("v", "company", "skel", F.explode("alts").alias("alt"))
+    there = names.where(F.size("alts") == 1).select("company", "skel", F.get("alts", F.lit(0)).alias("alt")).distinct()
+    found = meant.join(there, ["company", "skel", "alt"]).groupBy("v").agg(F.min("alt").alias("alt"), F.max("alt").alias("other"))
+    settled = short.select("v", "given").join(found, "v", "left")
+    alt = F.when(F.col("alt").isNull(), F.concat(F.lit("~"), "given")).when(F.col("alt") == F.col("other"), F.col("alt"))
+    return one.unionByName(settled.select("v", alt.alias("alt")).where(F.col("alt").isNotNull()))
+
+
+def _met(names: DataFrame, block: list[str], part: str) -> DataFrame:
+    """(a, b) of the names of a block whose ``part`` are one edit apart.
+
+    In a block of up to FEW names all pairs are compared; in a larger one those that share a name with a letter left out, which all that are one edit apart do.
     """
-    both = left.unionByName(right).where(F.col("company").isNotNull() & F.col("skel").isNotNull() & F.col("given").isNotNull())
-    block = ["company", "skel", "initial"]
-    short = both.where(F.char_length("given") == 1).select("company", "skel", F.col("given").alias("initial")).distinct()
-    whole = both.where(F.char_length("given") > 1).select("side", "company", "skel", "given", "alts", "mailbox", "slug", F.explode(F.array_distinct(F.transform("alts", lambda a: F.substring(a, 1, 1)))).alias("initial"))
-    whole = whole.join(short, block, "left_semi")
-    # Only initials that meet two spellings on one side have to be judged; the spellings of both sides then tell what is one person.
-    open_ = whole.groupBy("side", *block).agg(F.count_distinct("given").alias("k")).where(F.col("k") > 1).select(*block).distinct()
-    whole = cut(whole.join(open_, block, "left_semi").withColumn("v", F.xxhash64(*block, "given")))
-    spelled = whole.select(*block, "given", "alts", "v").distinct()
-    stands = spelled.select(*block, "given", "v", F.size("alts").alias("n_alts"), F.explode("alts").alias("alt"))
-    # What a short form may stand for, as far as it occurs or another short form stands for it too.
-    full = stands.where(F.col("n_alts") == 1).select(*block, "alt").distinct()
-    choice = stands.where(F.col("n_alts") > 1).join(full, [*block, "alt"]).groupBy("v").agg(F.count_distinct("alt").alias("choices"))
-    torn = choice.where(F.col("choices") > 1).select("v")
-    firm = lambda f: f.join(torn, "v", "left_anti")
-    near = spelled.where(F.char_length("given") >= 4).select(*block, "given", "v", F.explode(variants(F.col("given"))).alias("key"))
-    a, b = near.select(*block, "key", F.col("v").alias("a"), F.col("given").alias("ga")), near.select(*block, "key", F.col("v").alias("b"), F.col("given").alias("gb"))
-    typos = a.join(b, [*block, "key"]).where((F.col("a") < F.col("b")) & one_edit(F.col("ga"), F.col("gb"))).select("a", "b")
-
-    def stars(f: DataFrame, key: str) -> DataFrame:
-        """Edges from the least spelling that holds a key to the others."""
-        held = f.where(F.col(key).isNotNull()).select(*block, key, "v").distinct()
-        return held.join(held.groupBy(*block, key).agg(F.min("v").alias("a")), [*block, key]).select("a", F.col("v").alias("b"))
-
-    edges = typos.unionByName(stars(firm(stands), "alt")).unionByName(stars(whole, "mailbox")).unionByName(stars(whole, "slug")).where(F.col("a") != F.col("b")).distinct()
-    labels = propagate(cut(edges))
-    # A torn short form that no mailbox, profile or typing error gives to a person counts as none.
-    loose = torn.join(labels, "v", "left_anti")
-    who = whole.join(loose, "v", "left_anti").join(labels, "v", "left")
-    return who.groupBy("side", *block).agg(F.count_distinct(F.coalesce("label", "v")).alias("k"))
-
-
-def _pairs(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
-    """(l, r) of records that join by a rule and don't contradict each other, and their profiles."""
-    # Only ids and keys are spread over the variants; the attributes follow for the few that meet.
-    a = left.select(F.col("id").alias("l"), F.explode(rule_keys(rule)).alias("key"))
-    b = right.select(F.col("id").alias("r"), F.explode(rule_keys(rule)).alias("key"))
-    if rule == "initial":
-        short = lambda f: f.where(F.char_length("given") == 1)
-        a1 = short(left).select(F.col("id").alias("l"), F.explode(rule_keys(rule)).alias("key"))
-        b1 = short(right).select(F.col("id").alias("r"), F.explode(rule_keys(rule)).alias("key"))
-        p = a1.join(b, "key").unionByName(a.join(b1, "key")).select("l", "r").distinct()
-    else:
-        p = a.join(b, "key").select("l", "r").distinct()
-    cols = ("company", "given", "skel", "mailbox", "slug")
-    p = p.join(left.select(F.col("id").alias("l"), *[F.col(x).alias(f"l_{x}") for x in cols]), "l").join(right.select(F.col("id").alias("r"), *[F.col(x).alias(f"r_{x}") for x in cols]), "r")
-    apart = F.coalesce((F.col("l_company") != F.col("r_company")) & ~F.col("l_company").startswith("?") & ~F.col("r_company").startswith("?"), F.lit(False))
-    p = p.where(~apart)
-    # A number may stand for two keys: what met by it has to agree in fact.
-    if rule in ("mailbox", "profile"):
-        own = {"mailbox": "mailbox", "profile": "slug"}[rule]
-        p = p.where(F.col(f"l_{own}") == F.col(f"r_{own}"))
-    if rule in ("name", "given_typo", "initial"):
-        p = p.where((F.col("l_company") == F.col("r_company")) & (F.col("l_skel") == F.col("r_skel")))
-    if rule == "surname_typo":
-        p = p.where((F.col("l_company") == F.col("r_company")) & (F.col("l_skel") != F.col("r_skel")) & one_edit(F.col("l_skel"), F.col("r_skel")))
-    if rule == "given_typo":
-        p = p.where((F.col("l_given") != F.col("r_given")) & one_edit(F.col("l_given"), F.col("r_given")))
-    if rule == "initial":
-        # An initial that fits two persons names neither.
-        fits = cut(_fitting(left, right))
-        for me, other in (("l", "r"), ("r", "l")):
-            many = fits.where((F.col("side") == other) & (F.col("k") > 1)).select(F.col("company").alias(f"{me}_company"), F.col("skel").alias(f"{me}_skel"), F.col("initial").alias(f"{me}_given"))
-            p = p.join(many, many.columns, "left_anti")
-    return p.select("l", "r", "l_slug", "r_slug").distinct()
-
-
-def _known(pairs: DataFrame, rule: str, before: DataFrame | None) -> DataFrame:
-    """(side, id, slugs, named) of the records that ``pairs`` resolve, added to those ``before``: the profiles of the record and of what it was
-    matched with by mailbox or profile, and whether it was matched by its whole name."""
-    seen = lambda c: F.array("l_slug", "r_slug") if rule in ("mailbox", "profile") else F.array(f"{c}_slug")
-    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("id"), F.array_compact(seen(c)).alias("slugs")) for c in ("l", "r")])).alias("e")
-    rows = pairs.select(ends).select("e.*", F.lit(rule == "name").alias("named"))
-    rows = rows if before is None else before.unionByName(rows)
-    return rows.groupBy("side", "id").agg(F.array_distinct(F.flatten(F.collect_set("slugs"))).alias("slugs"), F.max("named").alias("named"))
-
-
-def _renamed(known: DataFrame, side: str) -> DataFrame:
-    return known.where(F.col("side") == side).select(F.col("id").alias(side), F.col("slugs").alias(f"{side}_slugs"), F.col("named").alias(f"{side}_named"))
-
-
-def _precision(pairs: DataFrame, f: DataFrame) -> DataFrame:
-    """(rule, confidence) of (l, r, rule)."""
-    local = F.substring_index("mailbox", "@", 1)
-    longest = F.array_max(F.transform(F.split(local, "[._+-]"), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    told = f.select("id", "slug", F.concat(F.substring(local, 1, 1), longest).alias("mail"), F.concat_ws(" ", F.substring("given", 1, 1), F.substring("skel", 1, 4)).alias("name"), F.col("given").isNotNull().alias("named"))
-    told = told.dropDuplicates(["id"])
-    a = told.select(*[F.col(c).alias(f"l_{c}") for c in told.columns])
-    b = told.select(*[F.col(c).alias(f"r_{c}") for c in told.columns])
-    j = pairs.join(a, pairs["l"] == a["l_id"]).join(b, pairs["r"] == b["r_id"])
-    page = F.when(F.col("rule") != "profile", (F.col("l_slug") == F.col("r_slug")).cast("int"))
-    mail = F.when(F.col("rule") != "mailbox", (F.col("l_mail") == F.col("r_mail")).cast("int"))
-    name = F.when(F.col("rule").isin("mailbox", "profile") & F.col("l_named") & F.col("r_named"), (F.col("l_name") == F.col("r_name")).cast("int"))
-    agree = F.greatest(page, mail, name)
-    hits = j.groupBy("rule").agg(F.sum(F.coalesce(agree, F.lit(0))).alias("hits"), F.count(agree).alias("n"))
-    return hits.select("rule", ((F.col("hits") + 1) / (F.col("n") + 2)).alias("confidence"))
-
-
-def match(raw: DataFrame, directory: DataFrame, key: str = "seq") -> DataFrame:
-    """(raw_seq, directory_seq, rule, confidence) of every pair about the same person at the same company."""
-    f = cut(with_keys(forms(taken(raw, key, "l").unionByName(taken(directory, key, "r")))))
-    left, right = f.where(F.col("side") == "l"), f.where(F.col("side") == "r")
-    found: list[DataFrame] = []
-    judged: list[DataFrame] = []
-    known: DataFrame | None = None
-    for rule in RULES:
-        every = cut(_pairs(left, right, rule).withColumn("rule", F.lit(rule)))
-        judged.append(every)
-        new = every
-        if known is not None:
-            # An open record may join any other; two resolved ones only where what is known of them does not tell them apart.
-            new = new.join(_renamed(known, "l"), "l", "left").join(_renamed(known, "r"), "r", "left")
-            apart = (F.size("l_slugs") > 0) & (F.size("r_slugs") > 0) & ~F.arrays_overlap("l_slugs", "r_slugs")
-            if rule in ("surname_typo", "given_typo"):
-                # Both spellings occur in both tables: two persons, not a typing error.
-                apart = apart | (F.col("l_named") & F.col("r_named"))
-            if rule not in ("mailbox", "profile"):
-                new = new.where(~F.coalesce(apart, F.lit(False)))
-        found.append(new.select("l", "r", "rule"))
-        if rule != RULES[-1]:
-            known = cut(_known(every, rule, known))
-    direct = found[0]
-    for x in found[1:]:
-        direct = direct.unionByName(x)
-    # A pair that several rules find is the strongest one's.
-    rank = F.array_position(F.lit(list(RULES)), F.col("rule"))
-    direct = cut(direct.groupBy("l", "r").agg(F.min_by("rule", rank).alias("rule")))
-    # Entities of either table: what agrees on a strong key.
-    strong = f.select("id", "side", "company", F.explode(F.concat(*[F.transform(rule_keys(r), lambda k, r=r: F.xxhash64(F.lit(r), k)) for r in ("mailbox", "profile", "name")])).alias("key"))
-    linked = F.concat_ws("\u0001", "side", F.coalesce("company", F.lit("")), F.col("key").cast("string"))
-    graph = strong.select("id", linked.alias("key")).unionByName(
-        direct.select(F.col("l").alias("id"), F.concat(F.lit("pair:"), F.col("l"), F.lit("-"), F.col("r")).alias("key")).unionByName(direct.select(F.col("r").alias("id"), F.concat(F.lit("pair:"), F.col("l"), F.lit("-"), F.col("r")).alias("key")))
-    )
-    entity = cut(components.group(graph).join(f.select("id", "side").distinct(), "id"))
-    l = entity.where(F.col("side") == "l").select("label", F.col("id").alias("l"))
-    r = entity.where(F.col("side") == "r").select("label", F.col("id").alias("r"))
-    pairs = l.join(r, "label").select("l", "r").join(direct, ["l", "r"], "left").fillna("linked", ["rule"])
-    pairs = cut(pairs)
-    every = pairs.where(F.col("rule") == "linked")
-    for x in judged:
-        every = every.unionByName(x.select("l", "r", "rule"))
-    confidence = cut(_precision(every, f))
-    out = pairs.join(F.broadcast(confidence), "rule")  # a row per rule
-    return out.select(F.col("l").alias("raw_seq"), F.col("r").alias("directory_seq"), "rule", "confidence")
+    sizes = names.groupBy(*block).agg(F.min(part).alias("lo"), F.max(part).alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") != F.col("hi")).select(*block, "n")
+    sized = cut(names.select("v", *block, F.col(part).alias("w")).join(sizes, block))
+
+    def pairs(f: DataFrame, on: list[str]) -> DataFrame:
+        a, b = (f.select(F.col("v").alias(s), F.col("w").alias(f"w{s}"), *on) for s in ("a", "b"))
+        return a.join(b, on).where((F.col("a") < F.col("b")) & one_edit(F.col("wa"), F.col("wb"))).select("a", "b")
+
+    many = sized.where(F.col("n") > FEW).withColumn("key", F.explode_outer(variants(F.col("w"))))
+    return pairs(sized.where(F.col("n") <= FEW), block).unionByName(pairs(many, [*block, "key"])).distinct()
+
+
+def _persons(labels: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, person, l, r, paged, both, named): the person of each vertex, in which tables it is, whether a profile of it is known, whether one
+    of its names occurs in both tables, and whether any name of it is whole."""
+    labels = small(labels)
+    flags = ("l", "r", "paged", "both", "named")
+    known = vertices.join(labels, "v").groupBy("label").agg(*[F.max(x).alias(f"p_{x}") for x in flags])
+    at = vertices.join(labels, "v", "left").join(small(cut(known)), "label", "left")
+    return at.select("v", F.coalesce("label", "v").alias("person"), *[F.coalesce(f"p_{x}", x).alias(x) for x in flags])
+
+
+def _allowed(pairs: DataFrame, persons: DataFrame, done: DataFrame) -> DataFrame:
+    """The (a, b) of which a person is open, or which nothing contradicts; what an earlier weak rule resolved (``done``) is not open."""
+    p = persons.select("v", "person", (F.col("l") & F.col("r")).alias("resolved"), "paged", "both")
+    for s in ("a", "b"):
+        pairs = p.select(F.col("v").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("person", "resolved", "paged", "both")]).join(small(cut(pairs)), s)
+        pairs = pairs.join(small(done.select(F.col("v").alias(s), F.lit(True).alias(f"{s}_done"))), s, "left")
+    open_ = ~(F.col("a_resolved") | F.col("a_done").isNotNull()) | ~(F.col("b_resolved") | F.col("b_done").isNotNull())
+    apart = (F.col("a_paged") & F.col("b_paged")) | (F.col("a_both") & F.col("b_both"))
+    return pairs.where((F.col("a_person") != F.col("b_person")) & (open_ | ~apart)).select("a", "b")
+
+
+def _numbered(f: DataFrame, seed: int) -> DataFrame:
+    rest = [F.when(~F.col("whole"), F.coalesce(c, F.lit("\u0002"))) for c in ("mailbox", "slug")]
+    return f.withColumn("v", F.xxhash64(F.lit(seed), F.col("whole"), *[F.coalesce(c, F.lit("\u0002")) for c in ("company", "given", "skel")], *rest))
+
+
+def _records(raw: DataFrame, directory: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The records of both tables in comparable form, with the number ``v`` of the vertex they stand for, and the vertices. An initial
+    may be anyone's: it is told apart by what else the record has."""
+    f = with_keys(forms(taken(raw, key, "l").unionByName(taken(directory, key, "r"))))
+    whole = F.col("company").isNotNull() & F.col("skel").isNotNull() & (F.char_length("given") > 1)
+    f = f.select("id", "side", "company", "given", "skel", "alts", "mailbox", "slug", F.coalesce(whole, F.lit(False)).alias("whole"))
+    f = f.where(F.col("whole") | F.col("mailbox").isNotNull() | F.col("slug").isNotNull() | (F.col("company").isNotNull() & F.col("skel").isNotNull() & F.col("given").isNotNull()))
+    seed = 42
+    f = cut(_numbered(f, seed))
+    while True:
+        vertices = cut(_vertices(f))
+        # A number that stands for two vertices: another seed has none, most likely.
+        if vertices.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
+            return f, vertices
+        seed += 1
+        f = cut(_numbered(f.drop("v"), seed))
+
+
+def resolve(f: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, person, l, r) of the vertices of ``_records``: the person each of them is, and the tables that person is in."""
+    names = vertices.where("whole").select("v", "company", "given", "skel", "alts", "l", "r")
+    firm = cut(_firm(names).join(names.select("v", "company", "given", "skel", "l", "r"), "v"))
+    # Strong rules, inside the company.
+    at = lambda kind, c: F.when(F.col(c).isNotNull(), digest(F.lit(kind), F.coalesce("company", F.lit("")), F.col(c)))
+    keyed = f.select(F.col("v").alias("id"), F.explode_outer(F.array(at("m", "mailbox"), at("p", "slug"))).alias("key")).where(F.col("key").isNotNull())
+    keyed = keyed.unionByName(firm.select(F.col("v").alias("id"), digest(F.lit("n"), F.col("company"), F.col("alt"), F.col("skel")).alias("key")))
+    edges = cut(components.stars(keyed).distinct())
+    labels = propagate(edges)
+    in_both = firm.groupBy("company", "alt", "skel").agg(F.max("l").alias("l"), F.max("r").alias("r")).where(F.col("l") & F.col("r")).select("company", "alt", "skel")
+    shared = cut(firm.join(in_both, ["company", "alt", "skel"]).select("v", F.lit(True).alias("both")).dropDuplicates(["v"]))
+    vertices = vertices.select("v", "l", "r", "paged", F.col("whole").alias("named")).join(small(shared), "v", "left").withColumn("both", F.coalesce("both", F.lit(False)))
+    persons = cut(_persons(labels, vertices))
+    # Typing errors: the surname under one given name, then the given name under one surname.
+    none = persons.select("v").limit(0)
+    typos = cut(_allowed(_met(firm.where(F.char_length("skel") >= LONG), ["company", "alt"], "skel"), persons, none))
+    done = cut(typos.select(F.explode_outer(F.array("a", "b")).alias("v")).distinct())
+    more = cut(_allowed(_met(names.where(F.char_length("given") >= LONG), ["company", "skel"], "given"), persons, done))
+    edges = cut(edges.unionByName(typos).unionByName(more))
+    labels = propagate(edges)
+    persons = cut(_persons(labels, vertices))
+    # Initials of persons without a whole name: the only person of the company, surname and initial, or at least the only one in the table they are not in.
+    short = f.where(~F.col("whole") & (F.char_length("given") == 1) & F.col("company").isNotNull() & F.col("skel").isNotNull()).select("v", "company", "skel", F.col("given").alias("initial")).distinct()
+    open_ = cut(persons.where(~F.col("named")).select("v", "l", "r").join(short, "v"))
+    fits = firm.select("v", "company", "skel", F.substring(F.translate("alt", "~", ""), 1, 1).alias("initial"))
+    fits = cut(fits.join(small(cut(open_.select("company", "skel", "initial").distinct())), ["company", "skel", "initial"]))
+    fits = persons.select("v", "person", "l", "r").join(small(fits), "v")
+    ends = lambda n, c: [F.min(F.when(c, F.col("person"))).alias(f"{n}_lo"), F.max(F.when(c, F.col("person"))).alias(f"{n}_hi")]
+    fits = fits.groupBy("company", "skel", "initial").agg(*ends("all", F.lit(True)), *ends("l", F.col("l")), *ends("r", F.col("r")))
+    one = lambda n: F.when(F.col(f"{n}_lo") == F.col(f"{n}_hi"), F.col(f"{n}_lo"))
+    fitted = open_.join(fits, ["company", "skel", "initial"]).select("v", F.coalesce(one("all"), F.when(~F.col("r"), one("r")), F.when(~F.col("l"), one("l"))).alias("lo")).where(F.col("lo").isNotNull())
+    fitted = fitted.select(F.least("v", "lo").alias("a"), F.greatest("v", "lo").alias("b")).where(F.col("a") != F.col("b"))
+    labels = components.label_graph(edges.unionByName(fitted))
+    return cut(_persons(labels, vertices).select("v", "person", "l", "r"))
+
+
+def _pairs(f: DataFrame, people: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Every record of the left table beside every one of the right table that is the same person, attributes with them."""
+    both = small(cut(people.where(F.col("l") & F.col("r")).select("v", "person")))
+    m = cut(f.select("id", "side", "v", "company", "given", "skel", "alts", "mailbox", "slug").join(both, "v").drop("v"))
+    sizes = m.groupBy("person").agg(F.ceil(F.count_if(F.col("side") == "l") / chunk).cast("int").alias("c_l"), F.ceil(F.count_if(F.col("side") == "r") / chunk).cast("int").alias("c_r"))
+    m = m.join(sizes, "person")
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols = ("company", "given", "skel", "alts", "mailbox", "slug")
+    a = m.where(F.col("side") == "l").select("person", F.col("id").alias("l"), *[F.col(c).alias(f"l_{c}") for c in cols], part("c_l").alias("p"), every("c_r").alias("q"))
+    b = m.where(F.col("side") == "r").select("person", F.col("id").alias("r"), *[F.col(c).alias(f"r_{c}") for c in cols], every("c_l").alias("p"), part("c_r").alias("q"))
+    return a.join(b, ["person", "p", "q"])
+
+
+def _rule() -> Column:
+    """The strongest rule that holds for a pair."""
+    same = lambda c: F.col(f"l_{c}") == F.col(f"r_{c}")
+    shared = F.arrays_overlap("l_alts", "r_alts")
+    initial = (F.char_length("l_given") == 1) | (F.char_length("r_given") == 1)
+    return (
+        F.when(same("mailbox"), "mailbox").when(same("slug"), "profile").when(same("company") & same("skel") & shared & ~initial, "name")
+        .when(same("company") & shared & ~initial & one_edit(F.col("l_skel"), F.col("r_skel")), "surname_typo").when(same("company") & same("skel") & ~initial & one_edit(F.col("l_given"), F.col("r_given")), "given_typo")
+        .when(same("company") & same("skel") & initial, "initial").otherwise("linked")
+    )
+
+
+def _label() -> Column:
+    """Whether a pair is right, by the strongest attribute that its rule does not use and both records have; else null."""
+
+    def mail(c: str) -> Column:
+        local = F.substring_index(c, "@", 1)
+        longest = F.array_max(F.transform(F.split(local, "[._+-]"), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+        return F.concat(F.substring(local, 1, 1), longest)
+
+    name = lambda s: F.concat_ws(" ", F.substring(f"{s}_given", 1, 1), F.substring(f"{s}_skel", 1, 4))
+    both = F.col("l_given").isNotNull() & F.col("r_given").isNotNull()
+    page = F.when(F.col("rule") != "profile", F.col("l_slug") == F.col("r_slug"))
+    return F.coalesce(page, F.when(F.col("rule") != "mailbox", mail("l_mailbox") == mail("r_mailbox")), F.when(F.col("rule").isin("mailbox", "profile") & both, name("l") == name("r")))
+
+
+@scoped
+def match(raw: DataFrame, directory: DataFrame, key: str = "seq", labels: DataFrame | None = None) -> DataFrame:
+    """(raw_seq, directory_seq, rule, confidence) of every pair about the same person at the same company. ``labels``: (raw_seq, directory_seq, same)
+    of judged pairs, which the precision of the rules is then taken from."""
+    f, vertices = _records(raw, directory, key)
+    pairs = _pairs(f, resolve(f, vertices)).withColumn("rule", _rule()).withColumn("label", _label() if labels is None else F.lit(None).cast("boolean"))
+    # A record that comes twice has its strongest rule.
+    rank = F.array_position(F.lit([*RULES, "linked"]), F.col("rule"))
+    pairs = pairs.select(F.col("l").alias("raw_seq"), F.col("r").alias("directory_seq"), rank.cast("int").alias("rank"), "label")
+    pairs = cut(pairs.groupBy("raw_seq", "directory_seq").agg(F.min("rank").alias("rank"), F.max("label").alias("label")).withColumn("rule", F.element_at(F.lit([*RULES, "linked"]), F.col("rank"))))
+    if labels is not None:
+        pairs = cut(pairs.drop("label").join(labels.select("raw_seq", "directory_seq", F.col("same").cast("boolean").alias("label")), ["raw_seq", "directory_seq"], "left"))
+    told = pairs.groupBy("rule").agg(F.count_if("label").alias("hits"), F.count("label").alias("n"))  # a row per rule
+    confidence = told.select("rule", ((F.col("hits") + 1) / (F.col("n") + 2)).alias("confidence"))
+    return pairs.join(F.broadcast(confidence), "rule").select("raw_seq", "directory_seq", "rule", "confidence")

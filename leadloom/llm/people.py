@@ -1,7 +1,9 @@
 """Who a contact row is about: its company and its person in forms that can be compared.
 
-A company is known by the label of its own domain (of the cell, its website, or its mailbox); a row without one gets the label that rows
-of the same company name carry, then of a name one edit away, then of the only company with that first word. A person is a given name and a surname without titles,
+A company is known by its registrable host (of the domain cell, the website, or the mailbox, if that host is a company's): the label before the public suffix, with it. Under the
+suffixes that nobody can register (RFC 2606) the label alone counts. Hosts of one label with different suffixes are one company if rows of both carry
+the same company name. A row without a host gets the company that rows of the same company name carry, then of a name one edit away, then of the only
+company with that first word, then of the rows with its mailbox or profile. A person is a given name and a surname without titles,
 letters case and accents; order is mended by what is mostly a given name in the data, initials by the row's mailbox and profile.
 """
 
@@ -10,26 +12,29 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.cluster import cut, small
-from leadloom.llm.keys import ADDRESS, mailbox, personal_mailbox, profile
+from leadloom.cluster import cut, lookup
+from leadloom.llm.keys import ADDRESS, mailbox, personal, profile
 from leadloom.llm.mojibake import candidates
-from leadloom.values import PLACEHOLDERS, present
-
-# Mail hosts that belong to no company.
-FREE_MAIL = (
-    "gmail", "googlemail", "yahoo", "ymail", "rocketmail", "hotmail", "outlook", "live", "msn", "aol", "icloud", "me", "mac", "gmx", "web", "mail",
-    "proton", "protonmail", "pm", "zoho", "yandex", "qq", "163", "126", "fastmail", "hey", "tutanota", "postbox", "inboxly", "pigeonmail", "mailhaven",
-)
+from leadloom.operators.graph import propagate
+from leadloom.values import PLACEHOLDERS, looked_up, present, trimmed
+
+# Suffixes that nobody can register (RFC 2606), and second levels that are public under the countries' suffixes.
+RESERVED = ("example", "test", "invalid", "localhost")
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gen", "go", "gob", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+HOST = (
+    "^(?:[a-z][a-z0-9+.-]*:/*)?(?:[^/?#@]*@)?(?:[\\p{L}\\p{N}_-]+\\.)*?([\\p{L}\\p{N}-]+\\.(?:(?:" + "|".join(SECOND_LEVEL) + ")\\.[a-z]{2}|\\p{L}{2,}))\\.?(?::\\d+)?(?:[/?#].*)?$"
+)
 # Legal forms and other words that do not tell companies apart.
 LEGAL = frozenset(
     "gmbh corp corporation inc incorporated ltd limited ltda sl srl sas kk ab aktiebolag as jsc llc plc sa ag bv nv oy co company spzoo spa pte pty holding branch the".split()
 )
-LEGAL_PHRASES = ("joint stock company", "sp z oo", "sp zoo", "a s", "g m b h", "north unit")
+LEGAL_PHRASES = tuple(f" {p} " for p in ("joint stock company", "sp z oo", "sp zoo", "a s", "g m b h"))
 # Titles, degrees and remarks around a person's name.
 AROUND = frozenset("mr mrs ms miss mx dr prof sir dame mba phd md bsc msc she he they her him them hiring jr sr ii iii".split())
 # Names of departments given where a person is expected.
@@ -57,15 +62,21 @@ LETTERS = str.maketrans(
 )
 
 
+_ALONE = re.compile("(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
+
+
+@lru_cache(maxsize=65_536)
 def repaired(text: str) -> str:
     """The text of the shortest lossless chain back to well-formed UTF-8, if there is one; names are matched, not restored, with it."""
-    if text.isascii():
+    if text.isascii() or _ALONE.search(text):  # what was UTF-8 comes in runs of two and more
         return text
     back = [t for chain, t, whole in candidates(text) if whole and chain.endswith(":utf8") and all(c.isalpha() or c.isascii() or c in "’–º" for c in t)]
     return min(back, key=len) if back and len(min(back, key=len)) < len(text) else text
 
 
 def fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", text.casefold().translate(LETTERS))
     t = "".join(c for c in t if not unicodedata.combining(c))
     return t.translate(LETTERS)
@@ -76,6 +87,7 @@ def usable(text: str | None) -> str:
     return "" if t.casefold() in PLACEHOLDERS else t
 
 
+@lru_cache(maxsize=65_536)
 def company_words(name: str | None) -> str:
     """The words of a company name without legal form, a part behind a comma in front of the rest."""
     t = fold(repaired(usable(name))).replace(".", "").replace("&", " and ").replace("’", "").replace("'", "")
@@ -83,7 +95,8 @@ def company_words(name: str | None) -> str:
     for p in t.split(","):
         p = f" {' '.join(re.sub(r'[^\w]+', ' ', p).split())} "
         for phrase in LEGAL_PHRASES:
-            p = re.sub(f"(?<=\\S) {phrase} $", " ", p)
+            if p.endswith(phrase) and len(p) > len(phrase):
+                p = p[: 1 - len(phrase)]
         words = [w for w in p.split()]
         kept = [w for w in words if w not in LEGAL] if len(words) > 1 or len(parts) else words
         if kept:
@@ -99,15 +112,23 @@ def skeleton(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", w)
 
 
+@lru_cache(maxsize=262_144)
 def _word(raw: str) -> str:
     """A word of a name; an initial stays one letter, however it is romanised."""
     w = re.sub(r"[^\w-]", "", fold(raw))
     return w[:1] if len(re.sub(r"\W", "", raw)) == 1 else w
 
 
+@lru_cache(maxsize=262_144)
+def _around(raw: str) -> bool:
+    return fold(raw).strip(".!") in AROUND
+
+
 def name_parts(full: str | None, first: str | None, last: str | None) -> tuple[list[str], list[str]] | None:
     """The words before and behind in a name, in the order given name, surname as far as its form shows it."""
-    text = re.sub(r"\(.*?\)", " ", repaired(usable(full)))
+    text = repaired(usable(full))
+    if "(" in text:
+        text = re.sub(r"\(.*?\)", " ", text)
     a, b = usable(first), usable(last)
     if a and b and (not text or re.search(r"[^\w\s.,'’!/-]", text)):  # no full name, or one that is beyond repair
         given, sur = ([w for w in map(_word, repaired(x).split()) if w and w not in AROUND] for x in (a, b))
@@ -115,17 +136,17 @@ def name_parts(full: str | None, first: str | None, last: str | None) -> tuple[l
         return ([" ".join(given)], sur) if given and sur and not all(w in DEPARTMENTS for w in given + sur) else None
     if not text:
         return None
-    halves = [h for h in text.split(",") if any(fold(w).strip(".") not in AROUND for w in h.split())]
-    if len(halves) == 2:
-        text = f"{halves[1]} {halves[0]}"
-        swapped = True
-    else:
-        text, swapped = " ".join(halves), False
-    raw = [w for w in re.split(r"[\s]+", text) if re.search(r"\w", w) and fold(w).strip(".!") not in AROUND]
-    upper = [w.isupper() and len(w) > 1 and "." not in w for w in raw]
-    if not swapped and raw and upper[0] and not all(upper) and not upper[-1]:
-        n = upper.index(False)
-        raw = raw[n:] + raw[:n]
+    swapped = False
+    if "," in text:
+        halves = [h for h in text.split(",") if not all(map(_around, h.split()))]
+        swapped = len(halves) == 2
+        text = f"{halves[1]} {halves[0]}" if swapped else " ".join(halves)
+    raw = [w for w in text.split() if not _around(w) and re.search(r"\w", w)]
+    if not swapped and raw and raw[0].isupper():
+        upper = [w.isupper() and len(w) > 1 and "." not in w for w in raw]
+        if upper[0] and not all(upper) and not upper[-1]:
+            n = upper.index(False)
+            raw = raw[n:] + raw[:n]
     words = [w for w in map(_word, raw) if w]
     if len(words) > 2:
         words = [words[0], *[w for w in words[1:-1] if len(w) > 1], words[-1]]
@@ -159,27 +180,25 @@ def parse(first, last, full, email, slug) -> tuple:
     return None, None, None
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        names = [parse(*x) for x in zip(b["first_name"], b["last_name"], b["full_name"], b["mailbox"], b["slug"])]
-        words = {c: company_words(c) for c in b["company_name"].unique()}
-        yield pd.DataFrame({
-            "id": b["id"], "side": b["side"], "label": b["label"], "mail_label": b["mail_label"], "mailbox": b["mailbox"], "slug": b["slug"], "bare": b["bare"],
-            "company_words": [words[c] or None for c in b["company_name"]],
-            "given": [n[0] for n in names], "sur": [n[1] for n in names], "origin": [n[2] for n in names],
-        })
+        cells = {c: b.column(c).to_pylist() for c in ("first_name", "last_name", "full_name", "mailbox", "slug", "company_name")}
+        names = [parse(*x) for x in zip(*list(cells.values())[:5])]
+        kept = [c for c in b.schema.names if c not in ("first_name", "last_name", "full_name", "company_name")]
+        made = {"company_words": [company_words(c) or None for c in cells["company_name"]], "given": [n[0] for n in names], "sur": [n[1] for n in names], "origin": [n[2] for n in names]}
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(v, pa.string()) for v in made.values()], names=kept + list(made))
 
 
-def host_label(c: Column) -> Column:
-    """The label before the ending of the host in a domain or page cell."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(present(c)), "^[a-z]+://", ""), "[/?#:].*$", "")
-    found = F.regexp_extract(host, "^(?:[\\p{L}\\p{N}-]+\\.)*([\\p{L}\\p{N}-]+)\\.[\\p{L}]{2,}$", 1)
-    return F.when(found != "", found)
+def host_key(c: Column | str) -> Column:
+    """The registrable host of a domain, page or mailbox; under a reserved suffix its label."""
+    h = F.regexp_extract(F.lower(trimmed(c)), HOST, 1)
+    reserved = F.substring_index(h, ".", -1).isin(*RESERVED)
+    return F.when(reserved, F.substring_index(h, ".", 1)).when(h != "", h)
 
 
 def variants(c: Column) -> Column:
     """A text and what it is with one letter left out: two texts share one if they are an edit apart."""
-    left_out = F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(10_000))))
+    left_out = F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.char_length(c))))
     return F.array_distinct(F.concat(F.array(c), left_out))
 
 
@@ -189,6 +208,55 @@ def one_edit(a: Column, b: Column) -> Column:
     return (far <= 1) | ((far == 2) & same & (F.char_length(a) == F.char_length(b)))
 
 
+#: Letters of the suffixes that names are indexed by, and the ratio of the longest common subsequence from which on they are spellings of one.
+SUFFIX = 4
+RATIO = 0.85
+
+
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def ratio(a: str, b: str) -> float:
+    return 2 * common(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def digest(*parts: Column) -> Column:
+    """128 bits that stand for the parts."""
+    return F.unhex(F.md5(F.concat_ws("\u0001", *parts)))
+
+
+def suffix(token: Column) -> Column:
+    """The suffix that a token is indexed by; a short token is its own. Tokens that share a longer suffix share this one."""
+    return F.when(F.char_length(token) > SUFFIX, F.substring(token, -SUFFIX, SUFFIX)).otherwise(token)
+
+
+def _same_firm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [min(ratio(x, y), ratio(x.split(" ")[0], y.split(" ")[0])) >= RATIO for x, y in zip(b.column("company_words").to_pylist(), b.column("known").to_pylist())]
+        yield b.filter(pa.array(keep, pa.bool_())).select(["company_words", "label"])
+
+
+def _by_suffix(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """(company_words, label) of the names that share a word's suffix with names of one company only, and are within RATIO of one.
+
+    A suffix alone (of ``foods``, ``systems``) is common to names of all kinds: it counts together with the first letters of the name.
+    """
+    first = lambda c: F.substring_index(c, " ", 1)
+    keys = lambda c: F.array_distinct(F.concat(F.array(F.concat(F.lit("1"), F.substring(c, 1, 3), suffix(first(c)))), F.transform(F.filter(F.split(c, " "), lambda w, i: i > 0), lambda w: F.concat(F.lit("2"), F.substring(c, 1, 3), suffix(w)))))
+    a = rest.where(F.char_length(first(F.col("company_words"))) >= 6).select("company_words", F.explode_outer(keys(F.col("company_words"))).alias("key"))
+    b = known.where(F.char_length(first(F.col("company_words"))) >= 6).select(F.col("company_words").alias("known"), "label", F.explode_outer(keys(F.col("company_words"))).alias("key"))
+    met = a.join(b, "key").where(F.levenshtein("company_words", "known") <= (1 - RATIO) * (F.char_length("company_words") + F.char_length("known")) + 1e-9)
+    judged = met.select("company_words", "known", "label").distinct().mapInArrow(_same_firm, "company_words string, label string")
+    return judged.groupBy("company_words").agg(F.min("label").alias("label"), F.max("label").alias("other")).where(F.col("label") == F.col("other")).select("company_words", "label")
+
+
 def _named(forms: DataFrame) -> DataFrame:
     """(company_words, label) of company names whose rows carry a label: the most frequent one."""
     seen = forms.where(F.col("label").isNotNull() & F.col("company_words").isNotNull()).groupBy("company_words", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -199,19 +267,22 @@ def _named(forms: DataFrame) -> DataFrame:
 def _labels(forms: DataFrame) -> DataFrame:
     """(company_words, company) of every company name that rows without a label carry."""
     known = cut(_named(forms))
+    # Near names are sought among those that are no slips of the pen themselves: a company's most frequent one, and every one that occurs again.
+    usual = known.join(known.groupBy("label").agg(F.max("n").alias("most")), "label").where((F.col("n") > 1) | (F.col("n") == F.col("most"))).select("company_words", "label", "n")
     open_ = cut(forms.where(F.col("label").isNull() & F.col("company_words").isNotNull()).select("company_words").distinct())
     exact = open_.join(known, "company_words").select("company_words", "label")
     rest = cut(open_.join(exact, "company_words", "left_anti"))
-    v_known = known.select(F.col("company_words").alias("known"), "label", "n", F.explode(variants(F.col("company_words"))).alias("v"))
-    v_rest = rest.select("company_words", F.explode(variants(F.col("company_words"))).alias("v"))
+    v_known = usual.select(F.col("company_words").alias("known"), "label", "n", F.explode_outer(variants(F.col("company_words"))).alias("v"))
+    v_rest = rest.select("company_words", F.explode_outer(variants(F.col("company_words"))).alias("v"))
     near = v_rest.join(v_known, "v").where(one_edit(F.col("company_words"), F.col("known"))).groupBy("company_words").agg(F.max(F.struct("n", "label")).alias("b")).select("company_words", "b.label")
     near = cut(near)
+    near = cut(near.unionByName(_by_suffix(rest.join(near, "company_words", "left_anti"), usual)))
     rest = cut(rest.join(near, "company_words", "left_anti").withColumn("core", F.substring_index("company_words", " ", 1)).where(F.char_length("core") >= 5))
     cores = known.groupBy(F.substring_index("company_words", " ", 1).alias("core")).agg(F.count_distinct("label").alias("k"), F.max("label").alias("label")).where((F.col("k") == 1) & (F.char_length("core") >= 5))
     cores = cut(cores.select("core", "label"))
     by_core = rest.join(cores, "core").select("company_words", "label")
-    last = rest.join(cores, "core", "left_anti").select("company_words", "core", F.explode(variants(F.col("core"))).alias("v"))
-    v_cores = cores.select(F.col("core").alias("known"), "label", F.explode(variants(F.col("core"))).alias("v"))
+    last = rest.join(cores, "core", "left_anti").select("company_words", "core", F.explode_outer(variants(F.col("core"))).alias("v"))
+    v_cores = cores.select(F.col("core").alias("known"), "label", F.explode_outer(variants(F.col("core"))).alias("v"))
     by_near_core = last.join(v_cores, "v").where(one_edit(F.col("core"), F.col("known"))).groupBy("company_words").agg(F.min("label").alias("label"), F.max("label").alias("other")).where(F.col("label") == F.col("other")).select("company_words", "label")
     return exact.unionByName(near).unionByName(by_core).unionByName(by_near_core)
 
@@ -225,45 +296,63 @@ def taken(rows: DataFrame, key: str, side: str) -> DataFrame:
     return named.select(F.col(key).cast("long").alias("id"), F.lit(side).alias("side"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in COLUMNS])
 
 
+def _one_company(f: DataFrame) -> DataFrame:
+    """(label, company) of the hosts that other hosts of the same label share a company name with."""
+    seen = f.where(F.col("label").contains(".") & F.col("company_words").isNotNull()).select(F.substring_index("label", ".", 1).alias("stem"), "company_words", "label").distinct()
+    hubs = seen.groupBy("stem", "company_words").agg(F.min("label").alias("a"), F.max("label").alias("z")).where(F.col("a") != F.col("z"))
+    edges = seen.join(hubs, ["stem", "company_words"]).where(F.col("label") != F.col("a")).select("a", F.col("label").alias("b")).distinct()
+    return propagate(cut(edges)).select(F.col("v").alias("label"), F.col("label").alias("company"))
+
+
 def forms(rows: DataFrame) -> DataFrame:
     """Of rows with the lead columns, ``id`` and ``side``: (id, side, company, given, sur, origin, mailbox, slug, bare).
 
     ``origin`` tells a name of the name fields (n) from one read off mailbox or profile (e); ``bare`` rows have no person field at all.
     """
-    m = mailbox("email")
-    mail_host = F.substring_index(m, "@", -1)
-    own = F.coalesce(host_label(F.col("company_domain")), host_label(F.col("company_website")))
-    mail = host_label(mail_host)
     none = lambda c: present(c).isNull()
     bare = none("first_name") & none("last_name") & none("full_name") & none("job_title") & none("seniority") & none("email") & none("phone") & none("linkedin_url")
     flat = rows.select(
-        "id", "side", "first_name", "last_name", "full_name", "company_name", own.alias("label"),
-        F.when(~mail.isin(*FREE_MAIL), mail).alias("mail_label"), personal_mailbox("email").alias("mailbox"), profile("linkedin_url").alias("slug"), bare.alias("bare"),
+        "id", "side", "first_name", "last_name", "full_name", "company_name", host_key("company_domain").alias("own"), host_key("company_website").alias("site"),
+        mailbox("email").alias("m"), profile("linkedin_url").alias("slug"), bare.alias("bare"),
     )
+    flat = flat.select("id", "side", "first_name", "last_name", "full_name", "company_name", F.coalesce("own", "site").alias("label"), host_key(F.substring_index("m", "@", -1)).alias("mail_label"), personal(F.col("m")).alias("mailbox"), "slug", "bare")
     shape = "id long, side string, label string, mail_label string, mailbox string, slug string, bare boolean, company_words string, given string, sur string, origin string"
-    f = cut(flat.mapInPandas(_forms, shape))
-    labels = cut(f.select("label").where(F.col("label").isNotNull()).distinct())
-    f = f.join(small(labels.select(F.col("label").alias("mail_label"), F.lit(True).alias("known"))), "mail_label", "left")
-    f = f.withColumn("label", F.coalesce("label", F.when(F.col("known"), F.col("mail_label")))).drop("known", "mail_label")
-    named = cut(_labels(f)).select("company_words", F.col("label").alias("by_name"))
-    f = f.join(small(named), "company_words", "left")
-    f = f.withColumn("company", F.coalesce("label", "by_name", F.when(F.col("company_words").isNotNull(), F.concat(F.lit("?"), "company_words")))).drop("label", "by_name")
+    f = cut(flat.mapInArrow(_forms, shape))
+    # A mail host is a company's if rows that state a host of their own mostly state this one (hosts of free mailboxes are not), or, where no row tells, if others state it.
+    told = F.explode_outer(F.array(F.struct(F.col("mail_label").alias("host"), (F.col("mail_label") == F.col("label")).cast("int").alias("same"), F.lit(0).alias("stated")), F.struct(F.col("label").alias("host"), F.lit(None).cast("int").alias("same"), F.lit(1).alias("stated")))).alias("t")
+    mails = f.select(told).where(F.col("t.host").isNotNull()).groupBy("t.host").agg(F.avg("t.same").alias("share"), F.max("t.stated").alias("stated"))
+    mails = cut(mails.where((F.coalesce("share", F.lit(1.0)) >= 0.5) & ((F.col("stated") == 1) | F.col("share").isNotNull())).select(F.col("host").alias("mail_label"), F.lit(True).alias("known")))
     # What is mostly a given name: words that stand first far more often than last.
-    spoken = f.where(F.col("origin") == "n")
-    first = spoken.select(F.col("given").alias("word"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    second = spoken.select(F.col("sur").alias("word"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    usual = first.unionByName(second).groupBy("word").agg(F.sum("a").alias("n_first"), F.sum("b").alias("n_last"))
-    usual = cut(usual.where((F.col("n_first") >= 3) & (F.col("n_first") > 3 * F.col("n_last")) & (F.char_length("word") > 1)).select("word"))
-    f = f.join(small(usual.select(F.col("word").alias("given"), F.lit(True).alias("given_usual"))), "given", "left")
-    f = f.join(small(usual.select(F.col("word").alias("sur"), F.lit(True).alias("sur_usual"))), "sur", "left")
+    word = F.explode_outer(F.array(F.struct(F.col("given").alias("word"), F.lit(1).alias("a")), F.struct(F.col("sur").alias("word"), F.lit(0).alias("a")))).alias("w")
+    usual = f.where(F.col("origin") == "n").select(word).groupBy("w.word").agg(F.sum("w.a").alias("n_first"), F.count(F.lit(1)).alias("n"))
+    usual = cut(usual.where((F.col("n_first") >= 3) & (F.col("n_first") > 3 * (F.col("n") - F.col("n_first"))) & (F.char_length("word") > 1)).select("word"))
+    f = lookup(f, mails, "mail_label").withColumn("label", F.coalesce("label", F.when(F.col("known"), F.col("mail_label")))).drop("known", "mail_label")
+    f = lookup(f, _one_company(f), "label").withColumn("label", F.coalesce("company", "label")).drop("company")
+    f = lookup(f, cut(_labels(f).select("company_words", F.col("label").alias("by_name"))), "company_words")
+    f = f.withColumn("company", F.coalesce("label", "by_name")).drop("label", "by_name")
+    f = lookup(f, usual.select(F.col("word").alias("given"), F.lit(True).alias("given_usual")), "given")
+    f = lookup(f, usual.select(F.col("word").alias("sur"), F.lit(True).alias("sur_usual")), "sur")
     turn = F.col("sur_usual").isNotNull() & F.col("given_usual").isNull() & (F.char_length("given") > 1)
-    return cut(f.select("id", "side", "company", F.when(turn, F.col("sur")).otherwise(F.col("given")).alias("given"), F.when(turn, F.col("given")).otherwise(F.col("sur")).alias("sur"), "origin", "mailbox", "slug", "bare"))
+    return _by_keys(cut(f.select("id", "side", "company", "company_words", F.when(turn, F.col("sur")).otherwise(F.col("given")).alias("given"), F.when(turn, F.col("given")).otherwise(F.col("sur")).alias("sur"), "origin", "mailbox", "slug", "bare")))
+
+
+def _by_keys(f: DataFrame) -> DataFrame:
+    """Rows without a company take the only one of the rows with their mailbox, or else their profile; the others are known by their company name."""
+    lost, own = f.where(F.col("company").isNull()), f.where(F.col("company").isNotNull())
+    for key in ("mailbox", "slug"):
+        met = own.join(lost.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_semi")
+        only = met.groupBy(key).agg(F.min("company").alias("only"), F.max("company").alias("other")).where(F.col("only") == F.col("other")).select(key, F.col("only").alias(f"by_{key}"))
+        lost = lookup(lost, cut(only), key)
+    by_name = F.when(F.col("company_words").isNotNull(), F.concat(F.lit("?"), "company_words"))
+    lost = lost.withColumn("company", F.coalesce("by_mailbox", "by_slug", by_name)).drop("by_mailbox", "by_slug")
+    return own.unionByName(lost).drop("company_words")
 
 
 def with_keys(f: DataFrame) -> DataFrame:
     """Adds ``alts`` (the given name and what it may stand for), ``sur1`` (the surname's first part) and ``skel`` (how that sounds)."""
-    stands_for = F.create_map(*[x for k, v in NICKNAMES.items() for x in (F.lit(k), F.lit(v))])
-    alts = F.array_distinct(F.concat(F.split(F.coalesce(stands_for[F.col("given")], F.col("given")), " "), F.when(stands_for[F.col("given")].isNull(), F.array("given")).otherwise(F.array().cast("array<string>"))))
+    # Nicknames are short: longer names need no look into the table.
+    stands_for = F.when(F.char_length("given") <= max(map(len, NICKNAMES)), looked_up(F.col("given"), NICKNAMES))
+    alts = F.when(stands_for.isNotNull(), F.split(stands_for, " ")).when(F.col("given").contains(" "), F.array_distinct(F.concat(F.split("given", " "), F.array("given")))).when(F.col("given").isNotNull(), F.array("given"))
     sur1 = F.regexp_replace(F.substring_index("sur", "-", 1), "[^\\p{L}\\p{N}]", "")
     sound = F.translate(F.regexp_replace(sur1, "ph", "f"), "wyczj", "viksi")
     return f.withColumn("alts", alts).withColumn("sur1", sur1).withColumn("skel", F.regexp_replace(sound, "(.)\\1+", "$1"))
