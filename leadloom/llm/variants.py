@@ -1,9 +1,11 @@
 """Rows that name the same person, or the same organisation, under different spellings.
 
-Blocks are exact: two names are spellings of one by a shared given name and near surnames, by one surname and near given names, or over a shared mailbox or profile.
-So the first index holds company and given name (under any name it may stand for), the second company, surname sound and the given name with a letter left out, the
-third mailbox and profile. A common block of the first is refined by what remains of a surname after deletions, which near surnames share: no pair that
-qualifies is lost by the size of a block or by where the letters differ. Surnames are compared by the ratio of their longest common subsequence.
+Suffix blocking: the index holds, inside a company, the suffix of every token of a name (given name under each name it may stand for, and surname), and names are
+compared where they share one. Suffixes that many names of a company share (``-berg``, ``-mann``) are refined with the other tokens of the name before
+they are let go: there, the whole token together with what remains of the other part after deletions is the key. Two spellings of one person share a
+given name or a surname as a whole, so whichever way a suffix goes, no pair that qualifies is lost, by the size of a block or by where the letters differ. Names of a common mailbox or profile
+are compared as well. Pairs are compared by the ratio of their longest common subsequence. Names of organisations meet by the suffixes
+of their words, under the same ratio (``people``).
 
 Names are compared as forms (distinct company, given name, surname), so that a name carried by many rows is compared once. Forms that match make persons;
 a form with an initial joins the only person it fits. The pairs of rows come last, and persons or organisations with many rows are split into chunks, whose
@@ -21,16 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.cluster import cut
-from leadloom.llm import components
-from leadloom.llm.people import forms, taken, with_keys
+from leadloom.cluster import cut, scoped
+from leadloom.llm.people import RATIO, common, digest, forms, ratio, suffix, taken, with_keys
 from leadloom.llm.people import one_edit as near
 from leadloom.llm.people import variants as deleted
+from leadloom.operators.graph import propagate
 
-#: Members from which on a block is refined, without a pair less, and length from which on a surname is not taken apart for it.
-REFINE = 256
+__all__ = ["common", "ratio"]
+#: Names of a company that a suffix may have before it is refined, and length from which on a surname is not taken apart for it.
+REFINE = 64
 LONG = 14
-RATIO = 0.85
 #: Ratio that is enough for rows of one mailbox or profile.
 RATIO_LINKED = 0.6
 #: Of two given names an edit apart, the rarer is a typing error if it is this much rarer.
@@ -39,20 +41,6 @@ RARER = 0.1
 CHUNK = 1_000
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
-def ratio(a: str, b: str) -> float:
-    return 2 * common(a, b) / (len(a) + len(b)) if a and b else 0.0
-
-
 def one_edit(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 1:
         return False
@@ -103,55 +91,76 @@ def alike(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) <= (1 - RATIO) * (F.char_length(a) + F.char_length(b)) + 1e-9
 
 
+def by_suffix(full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the forms of one company that share a token's suffix with no more than REFINE others, as far as they may be one person; and the (company, suffix) that more share."""
+    tokens = F.array_distinct(F.concat(F.transform("alts", suffix), F.array(suffix(F.col("skel")))))
+    index = cut(full.select("form", "company", "given", "skel", "alts", F.explode_outer(tokens).alias("suffix")))
+    sizes = cut(index.groupBy("company", "suffix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    rare = index.join(sizes.where(F.col("n") <= REFINE).select("company", "suffix"), ["company", "suffix"])
+    a, b = (rare.select("company", "suffix", F.col("form").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("given", "skel", "alts")]) for s in ("a", "b"))
+    given, sur = F.arrays_overlap("alts_a", "alts_b"), F.col("skel_a") == F.col("skel_b")
+    may = (given & alike(F.col("skel_a"), F.col("skel_b"))) | (sur & near(F.col("given_a"), F.col("given_b")))
+    return a.join(b, ["company", "suffix"]).where((F.col("a") < F.col("b")) & may).select("a", "b"), sizes.where(F.col("n") > REFINE).select("company", "suffix")
+
+
 def same_given(full: DataFrame) -> DataFrame:
-    """(a, b) of the forms of one company that share a given name and have surnames that may be within ``RATIO``: all such pairs, whatever the size of a block.
+    """(a, b) of the forms of one company that share a given name and have surnames that may be within ``RATIO``: all such pairs.
 
-    In a block of more than ``REFINE`` forms only those meet that have a common remainder after deletions, which holds for all pairs within ``RATIO``;
-    surnames of ``LONG`` letters and more, which have too many remainders, meet each other and the ones near that length directly.
+    They have a common remainder after deletions; surnames of ``LONG`` letters and more, which have too many, meet each other and the ones near that length directly.
     """
-    index = full.select("form", "skel", "company", F.explode("alts").alias("alt")).select("form", "skel", F.concat_ws("\u0001", "company", "alt").alias("block"))
-    sized = cut(index.join(index.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block"))
-    fine = sized.where(F.col("n") <= REFINE).select("form", "skel", "block")
-    more = sized.where(F.col("n") > REFINE).select("form", "skel", "block").mapInPandas(_refine, "form long, skel string, block string")
-    blocks = fine.unionByName(more)
+    index = full.select("form", "skel", F.concat_ws("\u0001", "company", "alt").alias("block"))
+    blocks = index.mapInPandas(_refine, "form binary, skel string, block string")
     a, b = (blocks.select(F.col("form").alias(s), F.col("skel").alias(f"s{s}"), "block") for s in ("a", "b"))
     return a.join(b, "block").where((F.col("a") < F.col("b")) & alike(F.col("sa"), F.col("sb"))).select("a", "b")
 
 
 def same_surname(full: DataFrame) -> DataFrame:
     """(a, b) of the forms of one company and surname sound whose given names are an edit apart."""
-    index = full.where(F.char_length("given") >= 4).select("form", "given", F.xxhash64("company", "skel").alias("own"), F.explode(deleted(F.col("given"))).alias("v"))
-    index = index.withColumn("block", F.xxhash64("own", "v"))
-    a, b = (index.select(F.col("form").alias(s), F.col("given").alias(f"g{s}"), "block") for s in ("a", "b"))
-    return a.join(b, "block").where((F.col("a") < F.col("b")) & near(F.col("ga"), F.col("gb"))).select("a", "b")
+    index = full.where(F.char_length("given") >= 4).select("form", "given", "company", "skel", F.explode(deleted(F.col("given"))).alias("v"))
+    a, b = (index.select(F.col("form").alias(s), F.col("given").alias(f"g{s}"), "company", "skel", "v") for s in ("a", "b"))
+    return a.join(b, ["company", "skel", "v"]).where((F.col("a") < F.col("b")) & near(F.col("ga"), F.col("gb"))).select("a", "b")
+
+
+def candidates(full: DataFrame) -> DataFrame:
+    """(a, b) of the forms that suffixes bring together, common suffixes refined."""
+    pairs, many = by_suffix(full)
+    many = cut(many)
+    tokens = full.select("form", "company", "skel", F.explode("alts").alias("alt")).withColumn("suffix", suffix(F.col("alt")))
+    given = tokens.join(many, ["company", "suffix"], "left_semi").select("form", "company", "skel", "alt")
+    sur = full.withColumn("suffix", suffix(F.col("skel"))).join(many, ["company", "suffix"], "left_semi")
+    return pairs.unionByName(same_given(given)).unionByName(same_surname(sur))
+
+
+def form_of() -> Column:
+    return digest(F.col("company"), F.col("given"), F.col("sur"))
 
 
 def persons(f: DataFrame) -> DataFrame:
-    """(form, person): the person of each form, of ``f`` with company, given, sur and keys."""
-    key = F.xxhash64("company", "given", "sur")
-    spelled = f.groupBy("company", "given", "sur", "skel", "alts").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("form", key)
-    counts = f.groupBy("given").agg(F.count(F.lit(1)).alias("n_given"))
-    spelled = cut(spelled.join(counts, "given"))
-    full = spelled.where(F.char_length("given") > 1)
-    shared = F.explode(F.array_compact(F.array(F.when(F.col("mailbox").isNotNull(), F.concat(F.lit("m:"), "mailbox")), F.when(F.col("slug").isNotNull(), F.concat(F.lit("p:"), "slug")))))
-    linked = f.where(F.char_length("given") > 1).select(key.alias("form"), "company", shared.alias("k")).select("form", F.concat_ws("\u0001", "company", "k").alias("block")).distinct()
-    linked = cut(linked)
-    a, b = linked.select(F.col("form").alias("a"), "block"), linked.select(F.col("form").alias("b"), "block")
-    pairs = a.join(b, "block").where(F.col("a") < F.col("b")).select("a", "b", F.lit(True).alias("linked"))
-    for more in (same_given(full), same_surname(full)):
-        pairs = pairs.unionByName(more.withColumn("linked", F.lit(False)))
+    """(form, person): the person of each form, of ``f`` with form, company, given, sur and keys."""
+    spelled = f.groupBy("form").agg(*[F.first(c).alias(c) for c in ("company", "given", "sur", "skel", "alts")], F.count(F.lit(1)).alias("n_rows"))
+    spelled = cut(spelled)
+    counts = spelled.groupBy("given").agg(F.sum("n_rows").alias("n_given"))
+    full = cut(spelled.where(F.char_length("given") > 1).join(counts, "given"))
+    shared = F.explode_outer(F.array(F.when(F.col("mailbox").isNotNull(), F.concat(F.lit("m:"), "mailbox")), F.when(F.col("slug").isNotNull(), F.concat(F.lit("p:"), "slug"))))
+    linked = f.where(F.char_length("given") > 1).select("form", "company", shared.alias("k")).where(F.col("k").isNotNull()).distinct()
+    # Only what several forms share is compared.
+    several = linked.groupBy("company", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("company", "k")
+    linked = cut(linked.join(several, ["company", "k"]))
+    a, b = linked.select(F.col("form").alias("a"), "company", "k"), linked.select(F.col("form").alias("b"), "company", "k")
+    pairs = a.join(b, ["company", "k"]).where(F.col("a") < F.col("b")).select("a", "b", F.lit(True).alias("linked"))
+    pairs = pairs.unionByName(candidates(full).withColumn("linked", F.lit(False)))
     pairs = pairs.groupBy("a", "b").agg(F.max("linked").alias("linked"))
     side = lambda s: full.select(F.col("form").alias(s), F.col("given").alias(f"g{s}"), F.col("skel").alias(f"s{s}"), F.col("n_given").alias(f"n{s}"), F.col("alts").alias(f"alts_{s}"))
-    edges = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_judge, "a long, b long")
-    labels = components.label_graph(edges)
+    edges = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_judge, "a binary, b binary")
+    labels = propagate(cut(edges))
     known = cut(full.join(labels.withColumnRenamed("v", "form"), "form", "left").withColumn("person", F.coalesce("label", "form")))
     # Forms with an initial: the only person of that company, surname and initial.
     short = spelled.where(F.char_length("given") == 1).select("form", "company", "skel", F.col("given").alias("initial"))
-    fits = known.select("company", "skel", F.explode(F.array_distinct(F.transform("alts", lambda x: F.substring(x, 1, 1)))).alias("initial"), "person").distinct()
+    fits = known.select("company", "skel", F.explode_outer(F.array_distinct(F.transform("alts", lambda x: F.substring(x, 1, 1)))).alias("initial"), "person")
     only = fits.groupBy("company", "skel", "initial").agg(F.min("person").alias("person"), F.max("person").alias("other"))
     joined = short.join(only, ["company", "skel", "initial"], "left")
     # One that fits nobody stands for itself, together with the same initial and sound; one that fits several stays alone.
-    own = F.xxhash64("company", "skel", "initial")
+    own = digest(F.lit("i"), F.col("company"), F.col("skel"), F.col("initial"))
     joined = joined.select("form", F.when(F.col("person").isNull(), own).when(F.col("person") == F.col("other"), F.col("person")).otherwise(own).alias("person"))
     return known.select("form", "person").unionByName(joined)
 
@@ -166,11 +175,18 @@ def row_pairs(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return a.join(b, ["thing", "pa", "pb"]).where(F.col("seq_a") < F.col("seq_b")).select("seq_a", "seq_b")
 
 
-def link(leads: DataFrame, key: str = "seq") -> DataFrame:
-    """(seq_a, seq_b) of every pair of rows that name the same person at the same company, or, without a person, the same organisation."""
-    f = cut(with_keys(forms(taken(leads, key, ""))).where(F.col("company").isNotNull()))
+@scoped
+def members(leads: DataFrame, key: str = "seq") -> DataFrame:
+    """(seq, thing): the person, or organisation, that each row names: what ``link`` gives all pairs of, as one row each."""
+    f = with_keys(forms(taken(leads, key, ""))).where(F.col("company").isNotNull())
+    f = cut(f.withColumn("form", F.when(F.col("origin") == "n", form_of())))
     named = f.where(F.col("origin") == "n")
     who = cut(persons(named))
-    people = named.withColumn("form", F.xxhash64("company", "given", "sur")).join(who, "form").select(F.col("id").alias("seq"), F.concat(F.lit("p"), F.col("person")).alias("thing"))
+    people = named.join(who, "form").select(F.col("id").alias("seq"), F.concat(F.lit("p"), F.hex("person")).alias("thing"))
     organisations = f.where(F.col("bare")).select(F.col("id").alias("seq"), F.concat(F.lit("o"), "company").alias("thing"))
-    return row_pairs(cut(people.unionByName(organisations).distinct()))
+    return people.unionByName(organisations).distinct()
+
+
+def link(leads: DataFrame, key: str = "seq") -> DataFrame:
+    """(seq_a, seq_b) of every pair of rows that name the same person at the same company, or, without a person, the same organisation."""
+    return row_pairs(members(leads, key))
