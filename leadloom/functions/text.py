@@ -62,7 +62,7 @@ def titlecase(c: Column) -> Column:
 
     def case(t: Column) -> Column:
         shouted = (F.upper(t) == t) & (F.lower(t) != t)
-        return F.when(shouted, F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1_000_000)))).otherwise(t)
+        return F.when(shouted, F.concat(F.upper(F.substring(t, F.lit(1), F.lit(1))), F.lower(F.substring(t, F.lit(2), F.char_length(t))))).otherwise(t)
 
     # The marks become parts of their own, so that one pass over the parts does.
     parts = F.split(F.regexp_replace(c, "([ '-])", "\u0001$1\u0001"), "\u0001", -1)
