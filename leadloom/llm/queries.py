@@ -14,10 +14,11 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The survivors: the first step of the operator. Which record survives is a given order of its fields, that the truth model, which settles the
+    values of the survivor (``p1_survivors``), has no part in."""
     from leadloom.llm import survivors
 
-    best, _ = survivors.fuse(_read(spark, d, "std_leads"))
-    return best.select("dup_group", "record_id")
+    return survivors.survivors(_read(spark, d, "std_leads")).select("dup_group", "record_id")
 
 
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:

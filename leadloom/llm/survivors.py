@@ -5,6 +5,9 @@ settled by a latent truth model with two-sided source quality: each source has a
 when it states any) and a specificity (how rarely it states a false one) per kind of field, found by expectation-maximisation. A multi-valued field
 keeps every value judged true, a single-valued one the likeliest.
 
+A source is judged by a value only where it states something for that field of the group. Before any source is heard, one of the values of a
+single-valued field is true, so each of n is with odds of 1 to n - 1; for multi-valued fields the share of true values is learned with the qualities.
+
 A value's probability depends only on its field, the set of sources stating it, the set of sources stating anything for
 that field of the group and the number of values there. So the values are counted by this pattern first, and the iterations run over the
 pattern counts: the same result as over all values, from a table whose size depends on the sources, not on the rows.
@@ -19,9 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from leadloom.cluster import BROADCAST_ROWS, cut, small
+from leadloom.cluster import cut, scoped, small
 from leadloom.values import present
 
 #: field -> (multi-valued, compared without case)
@@ -40,11 +42,12 @@ MULTI = (*(f for f, (m, _) in FIELDS.items() if m), LINKS)
 FOLDED = (*(f for f, (_, x) in FIELDS.items() if x), LINKS)
 
 ITERATIONS = 8
-#: Beta prior (successes, failures) of sensitivity, and the prior of a value being true. The prior of specificity has its weight in
-#: proportion to the values a source covers: most values are true here, and with a fixed weight the model turns over (all sources false, all values true).
+#: Beta priors (successes, failures) of sensitivity and specificity: sources are rather trusted not to state what is false, by the weight of a few values.
 SENSITIVITY = (2.0, 2.0)
-SPECIFICITY = (0.9, 0.1)
-TRUE_PRIOR = 0.5
+SPECIFICITY = (9.0, 1.0)
+#: Beta prior of the share of true values of a multi-valued field, and the odds of a single-valued field's only value.
+TRUE_SHARE = (6.0, 4.0)
+ONLY_VALUE = 9.0
 
 
 def survivors(records: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def claims(records: DataFrame, kept: DataFrame) -> DataFrame:
         stated_links = F.filter(F.map_entries(LINKS), lambda e: present(e["key"]).isNotNull() & present(e["value"]).isNotNull())
         cells = F.concat(cells, F.coalesce(F.transform(stated_links, link), F.array().cast("array<struct<field:string,raw:string>>")))
     rows = records.select("record_id", "dup_group", "person", "company", "source").join(kept.select("dup_group", F.col("record_id").alias("survivor")), "dup_group")
-    rows = rows.select("dup_group", (F.col("record_id") == F.col("survivor")).alias("own"), F.when(F.size(stated) > 0, stated).otherwise(F.array(F.lit("?"))).alias("stated"), F.explode(cells).alias("c"))
+    rows = rows.select("dup_group", (F.col("record_id") == F.col("survivor")).alias("own"), F.when(F.size(stated) > 0, stated).otherwise(F.array(F.lit("?"))).alias("stated"), F.explode_outer(cells).alias("c"))
     rows = rows.select("dup_group", "own", "stated", "c.field", present("c.raw").alias("shown")).where(F.col("shown").isNotNull())
     folded = F.col("field").isin(*FOLDED)
     return rows.withColumn("value", F.when(folded, F.lower("shown")).otherwise(F.col("shown")))
@@ -81,11 +84,11 @@ def claims(records: DataFrame, kept: DataFrame) -> DataFrame:
 
 def facts(stated: DataFrame) -> DataFrame:
     """One row per value of a field in a group, with its pattern."""
-    said = stated.groupBy("dup_group", "field", "value").agg(
+    said = cut(stated.groupBy("dup_group", "field", "value").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("stated")))).alias("by"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n_records"), F.min("shown").alias("shown")
-    )
+    ))
     over = said.groupBy("dup_group", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("by")))).alias("cover"), F.count(F.lit(1)).alias("n_values"))
-    return said.join(over, ["dup_group", "field"]).withColumn("pattern", F.xxhash64("field", "by", "cover", "n_values"))
+    return said.join(over, ["dup_group", "field"]).withColumn("pattern", F.md5(F.concat_ws("\u0002", "field", F.concat_ws(SEP, "by"), F.concat_ws(SEP, "cover"), "n_values")))
 
 
 def _log(c: Column) -> Column:
@@ -93,45 +96,44 @@ def _log(c: Column) -> Column:
 
 
 def quality(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
-    """EM over the pattern counts (pattern, field, by, cover, n): the pattern probabilities (pattern, p) and the
+    """EM over the pattern counts (pattern, field, by, cover, n_values, n): the pattern probabilities (pattern, p) and the
     source qualities (field, source, sensitivity, specificity)."""
-    pairs = patterns.select("pattern", "field", "n", F.explode("cover").alias("source"), "by").select("pattern", "field", "n", "source", F.array_contains("by", F.col("source")).cast("int").alias("said"))
-    pairs = cut(pairs)
-    few_patterns = patterns.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few_patterns else (lambda x: x)
+    multi = F.col("field").isin(*MULTI)
+    patterns = patterns.withColumn("multi", multi)
+    pairs = cut(patterns.select("pattern", "field", "multi", "n_values", "n", F.explode("cover").alias("source"), "by").select("pattern", "field", "multi", "n_values", "n", "source", F.array_contains("by", F.col("source")).cast("int").alias("said")))
     # At first, values are believed by the share of the covering sources that state them.
-    p = patterns.select("pattern", (0.05 + 0.9 * F.size("by") / F.size("cover")).alias("p"))
+    p = cut(patterns.select("pattern", "field", "n", (0.05 + 0.9 * F.size("by") / F.size("cover")).alias("p")))
     n, said, pr = F.col("n"), F.col("said"), F.col("p")
-    a, b = SENSITIVITY
-    c, d = SPECIFICITY
+    (a, b), (c, d), (e, g) = SENSITIVITY, SPECIFICITY, TRUE_SHARE
     q = None
     for _ in range(max(1, iterations)):
-        q = pairs.join(hint(p), "pattern").groupBy("field", "source").agg(
+        q = pairs.join(small(p.select("pattern", "p")), "pattern").groupBy("field", "source").agg(
             ((F.sum(n * pr * said) + a) / (F.sum(n * pr) + a + b)).alias("sensitivity"),
-            ((F.sum(n * (1 - pr) * (1 - said)) + c * F.sum(n)) / (F.sum(n * (1 - pr)) + (c + d) * F.sum(n))).alias("specificity"),
+            ((F.sum(n * (1 - pr) * (1 - said)) + c) / (F.sum(n * (1 - pr)) + c + d)).alias("specificity"),
         )
         q = cut(q)  # each round is one job over the pattern pairs
+        share = p.groupBy("field").agg(((F.sum(n * pr) + e) / (F.sum(n) + e + g)).alias("share"))
         odds = F.when(said == 1, _log(F.col("sensitivity")) - _log(1 - F.col("specificity"))).otherwise(_log(1 - F.col("sensitivity")) - _log(F.col("specificity")))
-        p = pairs.join(q, ["field", "source"]).groupBy("pattern").agg(F.sum(odds).alias("odds"))
-        prior = F.log(F.lit(TRUE_PRIOR / (1 - TRUE_PRIOR)))
-        p = p.select("pattern", (1 / (1 + F.exp(-F.greatest(F.least(F.col("odds") + prior, F.lit(50.0)), F.lit(-50.0))))).alias("p"))
-    return cut(p), q
+        before = F.when(F.col("multi"), _log(F.col("share")) - _log(1 - F.col("share"))).when(F.col("n_values") > 1, -F.log(F.col("n_values") - 1.0)).otherwise(F.log(F.lit(ONLY_VALUE)))
+        p = pairs.join(small(q), ["field", "source"]).join(F.broadcast(share), "field")  # a row per field
+        p = p.groupBy("pattern", "field", "n").agg((F.sum(odds) + F.first(before)).alias("odds"))
+        p = cut(p.select("pattern", "field", "n", (1 / (1 + F.exp(-F.greatest(F.least(F.col("odds"), F.lit(50.0)), F.lit(-50.0))))).alias("p")))
+    return p.select("pattern", "p"), q
 
 
+@scoped
 def fuse(records: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
     """The survivors (dup_group, record_id, n_records, ``fields``: field -> best value, ``kept``: multi-valued field -> values judged
     true) and the source qualities."""
     kept = cut(survivors(records))
     found = cut(facts(claims(records, kept)))
-    patterns = cut(found.groupBy("pattern").agg(F.first("field").alias("field"), F.first("by").alias("by"), F.first("cover").alias("cover"), F.count(F.lit(1)).cast("double").alias("n")))
+    patterns = cut(found.groupBy("pattern", "field", "by", "cover", "n_values").agg(F.count(F.lit(1)).cast("double").alias("n")))
     p, q = quality(patterns, iterations)
-    judged = found.join(small(p), "pattern")
-    rank = F.struct(F.round("p", 9).alias("p"), "own", "n_records")
-    # Of equal ranks the smallest value: max_by on the rank with the value kept as its minimum.
-    top = Window.partitionBy("dup_group", "field")
-    judged = judged.withColumn("rank", rank).withColumn("is_best", F.col("rank") == F.max("rank").over(top))
-    per_field = judged.groupBy("dup_group", "field").agg(F.min(F.when(F.col("is_best"), F.col("shown"))).alias("best"), F.array_sort(F.collect_set(F.when(F.col("p") >= 0.5, F.col("shown")))).alias("true"))
+    judged = found.join(small(cut(p)), "pattern")
     multi = F.col("field").isin(*MULTI)
+    # The likeliest value, then the survivor's own, then the most often stated, then the smallest: the least of these.
+    rank = F.struct((-F.round("p", 9)).alias("p"), (~F.col("own")).alias("own"), (-F.col("n_records")).alias("n"), "shown")
+    per_field = judged.groupBy("dup_group", "field").agg(F.min(rank)["shown"].alias("best"), F.array_sort(F.collect_set(F.when(multi & (F.col("p") >= 0.5), F.col("shown")))).alias("true"))
     wide = per_field.groupBy("dup_group").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "best")))).alias("fields"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(multi, F.struct("field", F.when(F.size("true") > 0, F.col("true")).otherwise(F.array("best")).alias("true")))))).alias("kept"),
