@@ -75,10 +75,14 @@ def _cuts(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
             found = [boundaries(t, s, e, overlap, chunk) for t, s, e in zip(b["part"], b["start"], b["at_end"])]
             yield pd.DataFrame({"row_id": b["row_id"], "start": b["start"], "heads": [x[0] for x in found], "tails": [x[1] for x in found]})
 
-    starts = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk)))
-    parts = long.select("row_id", "text", "n", starts.alias("start")).select(
-        "row_id", "start", F.expr(f"substring(text, start + 1, {chunk + overlap})").alias("part"), (F.col("start") + chunk + overlap >= F.col("n")).alias("at_end")
-    )
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # In Python a slice takes its own length; Spark's substring counts characters from the start of the text.
+        for b in batches:
+            for r, t in zip(b["row_id"], b["text"]):
+                for s in range(0, len(t), chunk):
+                    yield pd.DataFrame({"row_id": [r], "start": [s], "part": [t[s : s + chunk + overlap]], "at_end": [s + chunk + overlap >= len(t)]})
+
+    parts = long.select("row_id", "text").mapInPandas(cut_up, "row_id string, start int, part string, at_end boolean")
     seen = parts.repartition("row_id", "start").mapInPandas(scan, "row_id string, start int, heads array<int>, tails array<int>")
     by = Window.partitionBy("row_id").orderBy("start")
     common = F.array_min(F.array_intersect("heads", F.lag("tails").over(by)))
@@ -89,10 +93,16 @@ def _cuts(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
 def _pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     cuts = _cuts(long, chunk, overlap).groupBy("row_id").agg(F.array_sort(F.collect_set("at")).alias("cuts"))
-    edges = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array("n"))
-    spans = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.struct(i.alias("piece"), F.element_at("edges", i).alias("a"), F.element_at("edges", i + 1).alias("b")))
-    cut_up = long.join(cuts, "row_id", "left").withColumn("edges", edges).select("row_id", "doc_id", "text", F.explode(spans).alias("s"))
-    return cut_up.select("row_id", "doc_id", "s.piece", F.expr("substring(text, s.a + 1, s.b - s.a)").alias("text"))
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r, d, t, at in zip(b["row_id"], b["doc_id"], b["text"], b["cuts"]):
+                edges = [0, *([] if at is None else at), len(t)]
+                for k, (x, y) in enumerate(zip(edges, edges[1:])):
+                    yield pd.DataFrame({"row_id": [r], "doc_id": [d], "piece": [k], "text": [t[x:y]]})
+
+    doc = long.schema["doc_id"].dataType.simpleString()
+    return long.join(cuts, "row_id", "left").select("row_id", "doc_id", "text", "cuts").mapInPandas(pieces, f"row_id string, doc_id {doc}, piece int, text string")
 
 
 def encode(
@@ -118,8 +128,3 @@ def encode(
     done = _pieces(long, chunk, overlap).repartition("row_id", "piece").select("row_id", "doc_id", "piece", ids("text").alias("ids"))
     whole = done.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("all"))
     return short.unionByName(whole.select("doc_id", F.flatten(F.col("all.ids")).alias("ids")))
-
-
-def sizes(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, n_tokens)."""
-    return encode(documents, name, folder).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))

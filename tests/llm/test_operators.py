@@ -134,6 +134,9 @@ def test_components(spark):
     want = {i: least[find(i)] for i in ids}
     df = spark.createDataFrame(keyed, "id long, key string")
     assert {r.id: r.label for r in components.group(df, rounds=2).collect()} == want  # the long chain is contracted
+    chain = spark.createDataFrame([(i + j, f"c{i}") for i in range(1, 9) for j in (0, 1)] + [(50, "z"), (51, "z")], "id long, key string")
+    for rounds in (1, 100):  # contracted at once, and walked to its end
+        assert {r.id: r.label for r in components.group(chain, rounds=rounds).collect()} == {**{i: 1 for i in range(1, 10)}, 50: 50, 51: 50}
     rows = leads(spark, dict(seq=1, email="Jo <jo@x.example>", provider="p", external_id="0"), dict(seq=2, email="JO@X.EXAMPLE"), dict(seq=3, email="info@x.example"), dict(seq=4, email="info@x.example"), dict(seq=5, provider="p", external_id="0"), dict(seq=2, email="jo@x.example"), dict(seq=6, linkedin_url="https://linkedin.example/company/x"), dict(seq=7))
     assert {tuple(r) for r in components.lead_groups(rows).collect()} == {(1, 2)}
 
@@ -151,6 +154,52 @@ def test_mojibake(spark):
     assert mojibake.garbled(leads(spark, dict(seq=1))).count() == 0
 
 
+def test_companies_by_host(spark):
+    from leadloom.llm import people
+
+    hosts = ["foo.co.uk", "https://www.bar.co.uk/x", "acme.com.au", "acme.com", "go.acme.de", "MAIL.Acme.example", "acme.invalid", "N/A", "not a domain", "t.co", None, "x@shop.acme.de"]
+    got = [r[0] for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(people.host_key("h")).collect()]
+    assert got == ["foo.co.uk", "bar.co.uk", "acme.com.au", "acme.com", "acme.de", "acme", "acme", None, None, "t.co", None, "acme.de"]
+    # One name at .com and .de is one company; another company of the same label is not.
+    rows = leads(
+        spark, dict(id="1", side="l", company_name="Acme Tools GmbH", company_domain="acme.com"), dict(id="2", side="l", company_name="Acme Tools", company_domain="acme.de"),
+        dict(id="3", side="l", company_name="Acme Bakery", company_domain="acme.co.uk"), dict(id="4", side="l", company_name="Foo", company_domain="foo.co.uk"), dict(id="5", side="l", company_name="Bar", company_domain="bar.co.uk"),
+        dict(id="6", side="l", company_name="Acme Tolls"), dict(id="7", side="l", company_name="Nobody"), dict(id="8", side="l", full_name="Ann Lee", email="ann@acme.de", linkedin_url="linkedin.example/in/ann"),
+        dict(id="9", side="l", full_name="Ann Lee", linkedin_url="linkedin.example/in/ann"),
+    )
+    f = people.forms(people.taken(rows.withColumn("id", F.col("id").cast("long")), "id", "l"))
+    company = {r.id: r.company for r in f.collect()}
+    assert company[1] == company[2] == company[6] == company[8] == company[9] and len({company[i] for i in (1, 3, 4, 5, 7)}) == 5 and company[7] == "?nobody"
+
+
+def test_company_names_by_suffix(spark):
+    from leadloom.llm import people
+
+    known = spark.createDataFrame([("gryrodratti foods", "g", 3), ("zabreley systems", "z", 3), ("gryrodatta motors", "q", 2)], "company_words string, label string, n long")
+    rest = spark.createDataFrame([("gryrodrati foods",), ("zabreley systms ab",), ("gryphon foods",)], "company_words string")
+    assert {tuple(r) for r in people._by_suffix(rest, known).collect()} == {("gryrodrati foods", "g"), ("zabreley systms ab", "z")}
+
+
+def test_planted_qualities(spark):
+    from leadloom.llm import survivors
+
+    rnd = random.Random(11)
+    planted = {"a": (0.9, 0.8), "b": (0.7, 0.95), "c": (0.8, 0.6), "all": (1.0, 0.0)}
+    rows, n = [], 0
+    for g in range(2_500):
+        for k in range(3):
+            true = rnd.random() < 0.6
+            by = sorted(s for s, (sens, spec) in planted.items() if rnd.random() < (sens if true else 1 - spec))
+            rows.append((f"{g}-{k}", "person.email", by, sorted(planted), 3, 1.0))
+            n += true
+    patterns = spark.createDataFrame(rows, "pattern string, field string, by array<string>, cover array<string>, n_values long, n double")
+    merged = patterns.groupBy(F.concat_ws(",", "by").alias("pattern"), "field", "by", "cover", "n_values").agg(F.sum("n").alias("n"))
+    _, q = survivors.quality(merged, iterations=30)
+    for r in q.collect():
+        sens, spec = planted[r.source]
+        assert abs(r.sensitivity - sens) < 0.05 and abs(r.specificity - spec) < 0.05, r
+
+
 def test_variants(spark):
     from leadloom.llm import variants
 
@@ -188,11 +237,12 @@ def test_variants_in_large_blocks(spark, monkeypatch):
             for _ in range(k):
                 t[rnd.randrange(len(t))] = rnd.choice("abdegi")
             surs.append("".join(t))
-    forms = spark.createDataFrame([(i, s, "acme", ["rosa"]) for i, s in enumerate(surs)], "form long, skel string, company string, alts array<string>")
-    want = {(i, j) for i, a in enumerate(surs) for j, b in enumerate(surs) if i < j and variants.ratio(a, b) >= variants.RATIO}
-    for size in (1, 10_000):
+    number = lambda i: i.to_bytes(2, "big")
+    forms = spark.createDataFrame([(number(i), "acme", "rosa", s, ["rosa"]) for i, s in enumerate(surs)], "form binary, company string, given string, skel string, alts array<string>")
+    want = {(number(i), number(j)) for i, a in enumerate(surs) for j, b in enumerate(surs) if i < j and variants.ratio(a, b) >= variants.RATIO}
+    for size in (1, 10_000):  # every suffix refined, and none
         monkeypatch.setattr(variants, "REFINE", size)
-        assert want <= {tuple(r) for r in variants.same_given(forms).collect()}
+        assert want <= {(bytes(r.a), bytes(r.b)) for r in variants.candidates(forms).collect()}
     # A common surname: the given name's first letter is wrong once, in a company of many forms.
     rows = [dict(seq=i, full_name=f"{word(6)} Hansen", company_domain="acme.example") for i in range(80)] + [dict(seq=100 + i, full_name="Barbara Hansen", company_domain="acme.example") for i in range(12)]
     got = {tuple(r) for r in variants.link(leads(spark, *rows, dict(seq=200, full_name="Narbara Hansen", company_domain="acme.example"))).collect()}
@@ -214,6 +264,10 @@ def test_tokens(spark):
         for r in got:
             assert r.ids == plain.encode_ordinary(texts[r.doc_id] or "")
     assert tokens.decode(plain.encode_ordinary(texts[8])) == texts[8]
+    # Texts of several chunks at the production sizes: one with boundaries everywhere, one with none in the overlap.
+    long = [" ".join(f"Wörter{i} it's {i * 7}" for i in range(14_000)), "a" * 150_000, "x" * 65_536 + " y", "é" * 65_537]
+    got = {r.doc_id: r.ids for r in tokens.encode(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert all(len(t) > tokens.CHUNK_CHARS and got[i] == plain.encode_ordinary(t) for i, t in enumerate(long))
     assert tokens.encode(df.limit(0)).count() == 0
 
 
