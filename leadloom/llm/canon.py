@@ -194,12 +194,12 @@ class Near:
 class Matcher:
     """The entries of one field."""
 
-    def __init__(self, field: str, entries: list[tuple[int, str]]):
+    def __init__(self, field: str, entries: list[tuple[int, str]], more: dict[str, list[str]] | None = None):
         import ahocorasick
 
         self.of: dict[str, int] = {}
         for i, canonical in sorted(entries):
-            for a in aliases_of(field, canonical):
+            for a in [*aliases_of(field, canonical), *filter(None, map(plain, (more or {}).get(canonical, ())))]:
                 self.of.setdefault(a, i)
         self.automaton = ahocorasick.Automaton()
         for a, i in self.of.items():
@@ -262,8 +262,9 @@ class Matcher:
         return 0
 
 
-def match(rows: DataFrame, canon: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "seq") -> DataFrame:
-    """(key, field, value, canon_id) of every value that is present and not already an entry."""
+def match(rows: DataFrame, canon: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "seq", aliases: DataFrame | None = None) -> DataFrame:
+    """(key, field, value, canon_id) of every value that is present and not already an entry. ``aliases``: (field, canonical, alias) beside the table of this module,
+    for other lists; as many as a list may have entries."""
     entries = canon.select("canon_id", "field", "canonical").dropna().limit(MAX_ENTRIES + 1).collect()
     if len(entries) > MAX_ENTRIES:
         raise ValueError(f"a reference list may have {MAX_ENTRIES} entries")
@@ -272,8 +273,17 @@ def match(rows: DataFrame, canon: DataFrame, fields: tuple[str, ...] = FIELDS, k
         if r["field"] in lists:
             lists[r["field"]].append((r["canon_id"], r["canonical"]))
 
+    more: dict[str, dict[str, list[str]]] = {f: {} for f in fields}
+    if aliases is not None:
+        given = aliases.select("field", "canonical", "alias").dropna().limit(MAX_ENTRIES + 1).collect()
+        if len(given) > MAX_ENTRIES:
+            raise ValueError(f"a reference list may have {MAX_ENTRIES} aliases")
+        for r in given:
+            if r["field"] in more:
+                more[r["field"]].setdefault(r["canonical"], []).append(r["alias"])
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matchers = {f: Matcher(f, e) for f, e in lists.items()}
+        matchers = {f: Matcher(f, e, more[f]) for f, e in lists.items()}
         for b in batches:
             yield b.assign(canon_id=[matchers[f](v) for f, v in zip(b["field"], b["value"])])
 

@@ -108,6 +108,9 @@ def test_canon(spark):
     got = {(r.seq, r.field): r.canon_id for r in canon.match(df, entries).collect()}
     assert got == {(0, "job_title"): 1, (2, "job_title"): 3, (3, "job_title"): 2, (4, "job_title"): 0, (8, "job_title"): 1, (9, "job_title"): 0, (50, "company_country"): 9, (51, "company_country"): 0, (52, "seniority"): 0}
     assert canon.match(df.limit(0), entries).count() == 0
+    aliases = spark.createDataFrame([("job_title", "Software Engineer", "Code-Wrangler"), ("company_country", "United Kingdom", "Blighty"), ("x", "y", "z"), ("job_title", None, "q")], "field string, canonical string, alias string")
+    got = {(r.seq, r.field): r.canon_id for r in canon.match(leads(spark, dict(seq=1, job_title="code wrangler"), dict(seq=2, company_country="blighty")), entries, aliases=aliases).collect()}
+    assert got == {(1, "job_title"): 2, (2, "company_country"): 9}
 
 
 def test_components(spark):
