@@ -36,7 +36,7 @@ DEPTH = 3
 WEIGHTS = (0.70, 0.22, 0.07)
 FLOOR = 1e-6
 #: Bits of the hashed tables of trigrams, bigrams and characters, and the counts that a model of one field has at most (grams and their contexts).
-BITS = (18, 16, 14)
+BITS = (22, 18, 14)
 MODEL_ROWS = (1 << BITS[0]) + 2 * (1 << BITS[1]) + 2 * (1 << BITS[2]) + 1
 #: Chains that garble a value, by whether the way back ends in UTF-8.
 CHAINS = {True: len(WRONG_FOR_UTF8) + 1, False: len(WRONG_FOR_WESTERN) + len(WRONG_FOR_CYRILLIC)}
@@ -231,15 +231,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(model[at], pa.float64())], names=["field", "bucket", "n"])
 
 
-def models(clean: DataFrame) -> dict[str, np.ndarray]:
-    """field -> model, of (field, value, n). No more than MODEL_ROWS rows a field come to the driver, whatever the corpus."""
+def models(clean: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """field -> buckets and counts of its model, of (field, value, n). No more than MODEL_ROWS rows a field come to the driver, whatever the corpus."""
     rows = clean.select("field", "value", "n").mapInArrow(_count, "field string, bucket long, n double").groupBy("field", "bucket").agg(F.sum("n").alias("n")).toArrow()
     fields, buckets, n = rows["field"].to_numpy(zero_copy_only=False), rows["bucket"].to_numpy(), rows["n"].to_numpy()
-    out = {}
-    for f in set(fields):
-        out[f] = np.zeros(_AT[-1], dtype=np.float32)
-        out[f][buckets[fields == f]] = n[fields == f]
-    return out
+    return {f: (buckets[fields == f].astype(np.int32), n[fields == f].astype(np.float32)) for f in set(fields)}
+
+
+def whole(shared, field: str, ready: dict[str, np.ndarray]) -> np.ndarray:
+    """The model of a field with all its buckets, made once a task."""
+    if field not in ready:
+        ready[field] = np.zeros(_AT[-1], dtype=np.float32)
+        if field in shared.value:
+            at, n = shared.value[field]
+            ready[field][at] = n
+    return ready[field]
 
 
 def _script(value: str, text: str) -> float:
@@ -264,11 +270,10 @@ def _judged(model: np.ndarray, value: str, n: float, clean: bool, chains, texts,
 def _scorer(shared):
     """Scores values: a row a value, or with ``validate`` the weights of the errors that each margin makes on the clean values."""
 
-    def scored(batch: pa.RecordBatch):
+    def scored(batch: pa.RecordBatch, ready: dict[str, np.ndarray]):
         data = batch.to_pydict()
         for f in set(data["field"]):
-            model = shared.value.get(f)
-            model = np.zeros(_AT[-1], dtype=np.float32) if model is None else model
+            model = whole(shared, f, ready)
             mine = [i for i, x in enumerate(data["field"]) if x == f]
             texts, own, anchor, ends = [], [], [], [0]
             for i in mine:
@@ -282,17 +287,19 @@ def _scorer(shared):
                 yield f, model, i, data, part, _judged(model, data["value"][i], data["n"][i], data["clean"][i], data["chains"][i], data["texts"][i], data["wholes"][i], part)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, np.ndarray] = {}
         for b in batches:
-            out = [(f, d["value"][i], *best) for f, _, i, d, _, best in scored(b)]
+            out = [(f, d["value"][i], *best) for f, _, i, d, _, best in scored(b, ready)]
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["field", "value", "chain", "text", "whole", "margin"])
 
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.array(MARGINS)
         wrong = {True: np.zeros(len(at)), False: np.zeros(len(at))}
+        ready: dict[str, np.ndarray] = {}
         for b in batches:
             todo: dict[str, tuple[np.ndarray, list]] = {}
-            for f, model, i, d, _, (chain, _, _, margin) in scored(b):
+            for f, model, i, d, _, (chain, _, _, margin) in scored(b, ready):
                 wrong[chain is None or chain.endswith(":utf8")] += CLEAN_WEIGHT * (margin > at)
                 more = todo.setdefault(f, (model, []))[1]
                 first = len(more)
