@@ -25,17 +25,17 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
-WINDOW = 256
+WINDOW = 1_024
 OVERLAP = 48
-#: Windows in one pass of the network, which bounds a worker's memory.
-PASS = 256
+#: Characters in one pass of the network, which bounds a worker's memory, and in the texts that are worked on together.
+PASS = 1 << 18
+TOGETHER = 1 << 20
 
 BASES = 96
 CLASSES = 9
 _SCRIPTS = (("CJK", 70), ("HIRAGANA", 71), ("KATAKANA", 72), ("CYRILLIC", 73), ("ARABIC", 74), ("HANGUL", 75), ("DEVANAGARI", 76), ("GREEK", 77), ("LATIN", 78))
 
 
-@lru_cache(maxsize=65_536)
 def _ids(c: str) -> tuple[int, int]:
     """What a character is (its base letter or script), and of which class."""
     category = unicodedata.category(c)
@@ -63,9 +63,26 @@ def _ids(c: str) -> tuple[int, int]:
     return (79 if letter else 80 if category[0] in "PS" else 81), (8 if upper else 7) if letter else 6
 
 
+#: What each code point met so far is, as one number (base * CLASSES + class); -1 is not met yet.
+_met = np.full(0x110000, -1, dtype=np.int16)
+
+
 def encode(text: str) -> np.ndarray:
     """(2, length) of base and class ids; 0 is padding."""
-    return np.array([_ids(c) for c in text], dtype=np.int16).reshape(-1, 2).T
+    one = symbols(text)
+    return np.stack([one // CLASSES, one % CLASSES])
+
+
+def symbols(text: str) -> np.ndarray:
+    """Base and class id of each character as one number."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    one = _met[points]
+    if one.size and one.min() < 0:
+        for p in np.unique(points[one < 0]):
+            base, cls = _ids(chr(p))
+            _met[p] = base * CLASSES + cls
+        one = _met[points]
+    return one
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -73,40 +90,49 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """The trained network. The input's part of the gates is a table by character, so a step is one product with the state."""
+    """The trained network. The input's part of the gates is a table by symbol, so a step is one product with the state.
+
+    The logistic gates are (tanh(x / 2) + 1) / 2. The halves are in the weights: the state is kept doubled, and the products with it are by halved weights.
+    """
 
     def __init__(self, w: dict[str, np.ndarray]):
         w = {k: np.asarray(v, dtype=np.float32) for k, v in w.items()}
-        half = w["base"].shape[1]
-        self.tables = []
+        half, size = w["base"].shape[1], w["h_f"].shape[0]
+        gates = np.full(4 * size, 0.5, dtype=np.float32)
+        gates[3 * size :] = 1
+        self.size, self.tables, self.state = size, [], []
         for d in ("f", "b"):
             by_base = w["base"] @ w[f"x_{d}"][:half] + w[f"bias_{d}"]
             by_class = w["cls"] @ w[f"x_{d}"][half:]
-            self.tables.append((by_base.astype(np.float32), by_class.astype(np.float32), np.ascontiguousarray(w[f"h_{d}"])))
-        self.out, self.out_bias, self.moves, self.start = w["out"], w["out_bias"], w["moves"], w["start"]
-
-    def emissions(self, base: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """(steps, windows, tags) of ids (steps, windows)."""
-        steps, n = base.shape
-        size = self.tables[0][2].shape[0]
-        states = np.empty((2, steps, n, size), dtype=np.float32)
-        for d, (by_base, by_class, wh) in enumerate(self.tables):
-            h = np.zeros((n, size), dtype=np.float32)
-            c = np.zeros((n, size), dtype=np.float32)
+            self.tables.append(np.ascontiguousarray(((by_base[:, None] + by_class[None]) * gates).reshape(-1, 4 * size), dtype=np.float32))
+            self.state.append(np.ascontiguousarray(w[f"h_{d}"] * gates * 0.5, dtype=np.float32))
+        self.out, self.out_bias, self.moves, self.start = w["out"] * np.float32(0.5), w["out_bias"], w["moves"], w["start"]
+
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """(steps, windows, tags) of symbols (steps, windows)."""
+        steps, n = ids.shape
+        s = self.size
+        scores = np.broadcast_to(self.out_bias, (steps, n, TAGS)).copy()
+        states = np.empty((steps, n, s), dtype=np.float32)
+        z, y = np.empty((n, 4 * s), dtype=np.float32), np.empty((n, 4 * s), dtype=np.float32)
+        new, top = np.empty((n, s), dtype=np.float32), np.empty((n, s), dtype=np.float32)
+        for d, (table, wh) in enumerate(zip(self.tables, self.state)):
+            h, c = np.zeros((n, s), dtype=np.float32), np.zeros((n, s), dtype=np.float32)
             for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                z = h @ wh
-                z += by_base[base[t]]
-                z += by_class[cls[t]]
-                gates = z[:, : 3 * size]
-                gates *= 0.5
+                np.take(table, ids[t], axis=0, out=z, mode="clip")
+                np.matmul(h, wh, out=y)
+                z += y
                 np.tanh(z, out=z)
-                gates += 1
-                gates *= 0.5
-                c *= z[:, size : 2 * size]
-                c += z[:, :size] * z[:, 3 * size :]
-                h = z[:, 2 * size : 3 * size] * np.tanh(c)
-                states[d, t] = h
-        return np.concatenate([states[0], states[1]], axis=2) @ self.out + self.out_bias
+                z[:, : 3 * s] += 1
+                c *= z[:, s : 2 * s]
+                np.multiply(z[:, :s], z[:, 3 * s :], out=new)
+                c += new
+                c *= 0.5
+                np.tanh(c, out=top)
+                h = states[t]
+                np.multiply(z[:, 2 * s : 3 * s], top, out=h)
+            scores += states @ self.out[d * s : (d + 1) * s]
+        return scores
 
     def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of each text, all texts step by step together, longest first."""
@@ -114,52 +140,68 @@ class Network:
         lengths = np.array([len(scores[i]) for i in order])
         if not len(lengths) or not lengths[0]:
             return [np.zeros(0, dtype=np.int8) for _ in scores]
-        best = np.full((len(order), TAGS), -1e9, dtype=np.float32)
-        backs = []
-        for t in range(lengths[0]):
-            n = int(np.searchsorted(-lengths, -t, side="left"))
-            e = np.stack([scores[i][t] for i in order[:n]])
-            if t == 0:
-                best[:n] = self.start + e
-                backs.append(np.zeros((n, TAGS), dtype=np.int8))
-                continue
-            all_moves = best[:n, :, None] + self.moves[None]
-            back = all_moves.argmax(axis=1)
-            best[:n] = np.take_along_axis(all_moves, back[:, None, :], axis=1)[:, 0] + e
-            backs.append(back.astype(np.int8))
+        # Step by step, what the texts that still go on have there, one behind the other.
+        at = np.concatenate([np.arange(n) for n in lengths])
+        by_step = np.concatenate([scores[i] for i in order])[np.argsort(at, kind="stable")]
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        offsets = np.concatenate([[0], np.cumsum(alive)])
+        moves = np.ascontiguousarray(self.moves.T)
+        best = self.start + by_step[: alive[0]]
+        backs = np.zeros(by_step.shape, dtype=np.int8)
+        ended: list[np.ndarray] = []
+        flat = np.arange(len(order) * TAGS) * TAGS
+        for t in range(1, lengths[0]):
+            n = alive[t]
+            if n < len(best):
+                ended.append(best[n:])
+                best = best[:n]
+            every = best[:, None, :] + moves
+            back = every.argmax(axis=2)
+            best = every.reshape(-1)[flat[: n * TAGS] + back.reshape(-1)].reshape(n, TAGS)
+            best += by_step[offsets[t] : offsets[t + 1]]
+            backs[offsets[t] : offsets[t + 1]] = back
+        final = np.concatenate([best, *reversed(ended)]).argmax(axis=1).astype(np.int8)
+        tags = np.zeros(len(by_step), dtype=np.int8)
+        now = np.zeros(0, dtype=np.int8)
+        for t in range(lengths[0] - 1, -1, -1):
+            n = alive[t]
+            if n > len(now):  # texts that end here
+                now = np.concatenate([now, final[len(now) : n]])
+            tags[offsets[t] : offsets[t + 1]] = now
+            now = backs[offsets[t] : offsets[t + 1]][np.arange(n), now]
         out: list[np.ndarray] = [None] * len(scores)
-        for k, i in enumerate(order):
-            tags = np.zeros(lengths[k], dtype=np.int8)
-            if lengths[k]:
-                tags[-1] = best[k].argmax()
-                for t in range(lengths[k] - 1, 0, -1):
-                    tags[t - 1] = backs[t][k, tags[t]]
-            out[i] = tags
+        own = np.empty_like(tags)
+        own[np.argsort(at, kind="stable")] = tags
+        for i, a, n in zip(order, np.concatenate([[0], np.cumsum(lengths)]), lengths):
+            out[i] = own[a : a + n]
         return out
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
         """The tag of every character of every text."""
-        ids = [encode(t) for t in texts]
+        ids = [symbols(t) for t in texts]
         stride = WINDOW - 2 * OVERLAP
         windows = []
         for k, x in enumerate(ids):
-            n = x.shape[1]
-            for a in range(0, max(1, n - 2 * OVERLAP), stride):
-                windows.append((k, a, min(n, a + WINDOW)))
+            for a in range(0, max(1, len(x) - 2 * OVERLAP), stride):
+                windows.append((k, a, min(len(x), a + WINDOW)))
         windows.sort(key=lambda w: w[2] - w[1])
-        scores = [np.empty((x.shape[1], TAGS), dtype=np.float32) for x in ids]
-        for p in range(0, len(windows), PASS):
-            part = windows[p : p + PASS]
-            steps = max(b - a for _, a, b in part)
-            base = np.zeros((steps, len(part)), dtype=np.int16)
-            cls = np.zeros((steps, len(part)), dtype=np.int16)
+        scores = [np.empty((len(x), TAGS), dtype=np.float32) for x in ids]
+        p = 0
+        while p < len(windows):
+            # Windows of about one length, so that little is padding.
+            q = p + 1
+            while q < len(windows) and (q + 1 - p) * (windows[q][2] - windows[q][1]) <= PASS and windows[q][2] - windows[q][1] <= 1.1 * (windows[p][2] - windows[p][1]) + 16:
+                q += 1
+            part = windows[p:q]
+            p = q
+            grid = np.zeros((len(part), part[-1][2] - part[-1][1]), dtype=np.int16)
             for j, (k, a, b) in enumerate(part):
-                base[: b - a, j], cls[: b - a, j] = ids[k][0, a:b], ids[k][1, a:b]
-            e = self.emissions(base, cls)
+                grid[j, : b - a] = ids[k][a:b]
+            e = self.emissions(np.ascontiguousarray(grid.T))
             for j, (k, a, b) in enumerate(part):
                 # A character of two windows is taken from the one it stands further inside of.
                 lo = a if a == 0 else a + OVERLAP
-                hi = b if b == ids[k].shape[1] else b - OVERLAP
+                hi = b if b == len(ids[k]) else b - OVERLAP
                 scores[k][lo:hi] = e[lo - a : hi - a, j]
         return self.viterbi(scores)
 
@@ -180,50 +222,60 @@ _FIRST = {
 }
 # Titles that stand before a name and are no part of it.
 _TITLES = re.compile(r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|monsieur|madame|señora?|sra?|el|la)\b\.?\s+", re.I)
-_AT = re.compile(r"@|[\[(]at[\])]| at ")
+_LINE = re.compile(r"[^\r\n]+")
+_TOKEN = re.compile(r"\S*")
 _JAPANESE_NAME = re.compile(r"[一-鿿々ヶ]{1,4}[ 　]?[一-鿿々]{1,3}(?=さん|様|氏)")
 _INNER = re.compile(r"(?:[A-Z]\.|van|von|der|den|de) ")
 _BEFORE = re.compile(r"(?:^|[\s(\"'])([A-ZÀ-ÝĀ-Ž][^\W\d_]+ (?:van |von |de )?)\Z")
 _SPACED = re.compile(r"[a-zA-ZÀ-ɏḀ-ỿЀ-ӿ0-9]")
 
 
+def _leftward(pattern: re.Pattern, text: str, a: int) -> re.Match | None:
+    """What of the pattern ends at ``a``, however far left it begins."""
+    n = 64
+    while True:
+        lo = max(0, a - n)
+        m = pattern.search(text, lo, a)
+        if lo == 0 or (m and m.start() > lo) or (m is None and text.count(" ", lo, a) > 3):
+            return m
+        n *= 8
+
+
 def _lines(text: str, a: int, b: int, kind: str) -> list[tuple[int, int, str]]:
     """A span over a line break is one mention a line: a stub of a word before the break is none, and a line with an at sign is a mailbox."""
     out = []
-    for m in re.finditer(r"[^\r\n]+", text[a:b]):
-        x, y = a + m.start(), a + m.end()
+    for m in _LINE.finditer(text, a, b):
+        x, y = m.start(), m.end()
         if y < b and x == a and x > 0 and text[x - 1].isalnum():
             continue  # begins inside a word and ends with its line
-        out.append((x, y, "email" if kind == "name" and _AT.search(text, x, min(len(text), y + 24)) and "@" in re.split(r"\s", text[x : y + 64] + " ")[0] else kind))
+        out.append((x, y, "email" if kind == "name" and "@" in _TOKEN.match(text, x)[0] else kind))
     return out
 
 
 def mentions(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, kind) from the tags, the ends set to the words they stand in."""
     spans: list[tuple[int, int, str]] = []
-    i, n = 0, len(text)
-    while i < n:
-        if tags[i] == 0:
-            i += 1
-            continue
-        k = (int(tags[i]) - 1) // 2
-        j = i + 1
-        while j < n and tags[j] == 2 + 2 * k:
-            j += 1
-        spans += _lines(text, i, j, KINDS[k])
-        i = j
+    n = len(text)
+    marked = np.flatnonzero(tags)
+    # A mention goes on as long as the next character continues its kind.
+    goes_on = np.zeros(len(marked), dtype=bool)
+    kinds = (tags[marked] - 1) // 2
+    goes_on[1:] = (np.diff(marked) == 1) & (tags[marked[1:]] % 2 == 0) & (kinds[1:] == kinds[:-1])
+    starts = np.flatnonzero(~goes_on)
+    for i, j in zip(starts, [*starts[1:], len(marked)]):
+        spans += _lines(text, int(marked[i]), int(marked[j - 1]) + 1, KINDS[kinds[i]])
     out: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
         if kind == "name" and (m := _JAPANESE_NAME.search(text, max(0, a - 2), min(n, b + 4))) and m.start() < b:
             a, b = m.start(), m.end()
-        elif _FIRST[kind].match(text, a) and (m := _LEFT[kind].search(text[max(0, a - 64) : a])):
+        elif _FIRST[kind].match(text, a) and (m := _leftward(_LEFT[kind], text, a)):
             a -= m.end() - m.start()
         while a < b and not _FIRST[kind].match(text, a):
             a += 1
         if kind == "name" and (m := _TITLES.match(text, a, b)) and m.end() < b:
             a = m.end()
         # An initial or particle is not where a name starts if a capitalised word stands before it.
-        if kind == "name" and _INNER.match(text, a) and (m := _BEFORE.search(text[max(0, a - 40) : a])):
+        if kind == "name" and _INNER.match(text, a) and (m := _leftward(_BEFORE, text, a)):
             a -= len(m[1])
         while 0 < b < n and b > a and kind in ("email", "name", "id_number") and _SPACED.match(text[b]) and _SPACED.match(text[b - 1]):
             b += 1
@@ -247,7 +299,7 @@ def find(documents: DataFrame, weights: str | Path = WEIGHTS) -> DataFrame:
             while todo:
                 # Texts of about one pass of windows at a time, whatever their lengths.
                 k = size = 0
-                while k < len(todo) and (k == 0 or size < PASS * WINDOW):
+                while k < len(todo) and (k == 0 or size < TOGETHER):
                     size += len(todo[k][1])
                     k += 1
                 for (i, x), tags in zip(todo[:k], net.tag([x for _, x in todo[:k]])):
@@ -265,7 +317,8 @@ def find(documents: DataFrame, weights: str | Path = WEIGHTS) -> DataFrame:
 
 def listed(documents: DataFrame, weights: str | Path = WEIGHTS) -> DataFrame:
     """(doc_id, kind, start_pos) of every mention."""
-    return find(documents, weights).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.kind", "s.start_pos")
+    # An inner explode would have the optimizer filter by the number of spans first, and so run the network twice.
+    return find(documents, weights).select("doc_id", F.explode_outer("spans").alias("s")).where(F.col("s").isNotNull()).select("doc_id", "s.kind", "s.start_pos")
 
 
 def masked(documents: DataFrame, weights: str | Path = WEIGHTS) -> DataFrame:
