@@ -73,25 +73,35 @@ def _met(names: DataFrame, block: list[str], part: str) -> DataFrame:
     return pairs(sized.where(F.col("n") <= FEW), block).unionByName(pairs(many, [*block, "key"])).distinct()
 
 
-def _persons(labels: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(v, person, l, r, paged, both, named): the person of each vertex, in which tables it is, whether a profile of it is known, whether one
-    of its names occurs in both tables, and whether any name of it is whole."""
-    labels = small(labels)
-    flags = ("l", "r", "paged", "both", "named")
-    known = vertices.join(labels, "v").groupBy("label").agg(*[F.max(x).alias(f"p_{x}") for x in flags])
-    at = vertices.join(labels, "v", "left").join(small(cut(known)), "label", "left")
-    return at.select("v", F.coalesce("label", "v").alias("person"), *[F.coalesce(f"p_{x}", x).alias(x) for x in flags])
+FLAGS = ("l", "r", "paged", "both", "named")
 
 
-def _allowed(pairs: DataFrame, persons: DataFrame, done: DataFrame) -> DataFrame:
+def _linked(labels: DataFrame, vertices: DataFrame, shared: DataFrame) -> DataFrame:
+    """(v, person, and of the person: l, r, paged, both, named) of the vertices that are one person with another: in which tables it is, whether a profile of
+    it is known, whether one of its names occurs in both tables, and whether any name of it is whole. Every other vertex is its own person."""
+    at = cut(vertices.join(small(labels), "v").join(small(shared), "v", "left").select("v", F.col("label").alias("person"), "l", "r", "paged", F.coalesce("both", F.lit(False)).alias("both"), F.col("whole").alias("named")))
+    known = at.groupBy("person").agg(*[F.max(x).alias(x) for x in FLAGS])
+    return cut(at.select("v", "person").join(known, "person"))
+
+
+def _or_own(df: DataFrame, linked: DataFrame, *flags: str) -> DataFrame:
+    """``df`` (v and its own ``flags``) with ``person`` and the person's flags in their place."""
+    found = df.join(small(linked.select("v", "person", *[F.col(x).alias(f"p_{x}") for x in flags])), "v", "left")
+    kept = [c for c in df.columns if c not in flags]
+    return found.select(*kept, F.coalesce("person", "v").alias("person"), *[F.coalesce(f"p_{x}", x).alias(x) for x in flags])
+
+
+def _allowed(pairs: DataFrame, vertices: DataFrame, linked: DataFrame, shared: DataFrame, done: DataFrame) -> DataFrame:
     """The (a, b) of which a person is open, or which nothing contradicts; what an earlier weak rule resolved (``done``) is not open."""
-    p = persons.select("v", "person", (F.col("l") & F.col("r")).alias("resolved"), "paged", "both")
+    pairs = cut(pairs)
+    ends = cut(pairs.select(F.explode_outer(F.array("a", "b")).alias("v")).distinct())
+    p = vertices.select("v", "l", "r", "paged").join(small(ends), "v").join(small(shared), "v", "left").withColumn("both", F.coalesce("both", F.lit(False)))
+    p = _or_own(p, linked, "l", "r", "paged", "both").join(small(done.withColumn("done", F.lit(True))), "v", "left")
+    p = small(cut(p.select("v", "person", ((F.col("l") & F.col("r")) | F.col("done").isNotNull()).alias("resolved"), "paged", "both")))
     for s in ("a", "b"):
-        pairs = p.select(F.col("v").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("person", "resolved", "paged", "both")]).join(small(cut(pairs)), s)
-        pairs = pairs.join(small(done.select(F.col("v").alias(s), F.lit(True).alias(f"{s}_done"))), s, "left")
-    open_ = ~(F.col("a_resolved") | F.col("a_done").isNotNull()) | ~(F.col("b_resolved") | F.col("b_done").isNotNull())
+        pairs = pairs.join(p.select(F.col("v").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("person", "resolved", "paged", "both")]), s)
     apart = (F.col("a_paged") & F.col("b_paged")) | (F.col("a_both") & F.col("b_both"))
-    return pairs.where((F.col("a_person") != F.col("b_person")) & (open_ | ~apart)).select("a", "b")
+    return pairs.where((F.col("a_person") != F.col("b_person")) & (~(F.col("a_resolved") & F.col("b_resolved")) | ~apart)).select("a", "b")
 
 
 def _numbered(f: DataFrame, seed: int) -> DataFrame:
@@ -129,29 +139,26 @@ def resolve(f: DataFrame, vertices: DataFrame) -> DataFrame:
     labels = propagate(edges)
     in_both = firm.groupBy("company", "alt", "skel").agg(F.max("l").alias("l"), F.max("r").alias("r")).where(F.col("l") & F.col("r")).select("company", "alt", "skel")
     shared = cut(firm.join(in_both, ["company", "alt", "skel"]).select("v", F.lit(True).alias("both")).dropDuplicates(["v"]))
-    vertices = vertices.select("v", "l", "r", "paged", F.col("whole").alias("named")).join(small(shared), "v", "left").withColumn("both", F.coalesce("both", F.lit(False)))
-    persons = cut(_persons(labels, vertices))
+    linked = _linked(labels, vertices, shared)
     # Typing errors: the surname under one given name, then the given name under one surname.
-    none = persons.select("v").limit(0)
-    typos = cut(_allowed(_met(firm.where(F.char_length("skel") >= LONG), ["company", "alt"], "skel"), persons, none))
+    none = vertices.select("v").limit(0)
+    typos = cut(_allowed(_met(firm.where(F.char_length("skel") >= LONG), ["company", "alt"], "skel"), vertices, linked, shared, none))
     done = cut(typos.select(F.explode_outer(F.array("a", "b")).alias("v")).distinct())
-    more = cut(_allowed(_met(names.where(F.char_length("given") >= LONG), ["company", "skel"], "given"), persons, done))
+    more = cut(_allowed(_met(names.where(F.char_length("given") >= LONG), ["company", "skel"], "given"), vertices, linked, shared, done))
     edges = cut(edges.unionByName(typos).unionByName(more))
-    labels = propagate(edges)
-    persons = cut(_persons(labels, vertices))
+    linked = _linked(propagate(edges), vertices, shared)
     # Initials of persons without a whole name: the only person of the company, surname and initial, or at least the only one in the table they are not in.
-    short = f.where(~F.col("whole") & (F.char_length("given") == 1) & F.col("company").isNotNull() & F.col("skel").isNotNull()).select("v", "company", "skel", F.col("given").alias("initial")).distinct()
-    open_ = cut(persons.where(~F.col("named")).select("v", "l", "r").join(short, "v"))
-    fits = firm.select("v", "company", "skel", F.substring(F.translate("alt", "~", ""), 1, 1).alias("initial"))
-    fits = cut(fits.join(small(cut(open_.select("company", "skel", "initial").distinct())), ["company", "skel", "initial"]))
-    fits = persons.select("v", "person", "l", "r").join(small(fits), "v")
+    short = vertices.where(~F.col("whole") & (F.char_length("given") == 1) & F.col("company").isNotNull() & F.col("skel").isNotNull()).select("v", "company", "skel", F.col("given").alias("initial"), "l", "r", F.lit(False).alias("named"))
+    open_ = cut(_or_own(short, linked, "l", "r", "named").where(~F.col("named")).select("v", "company", "skel", "initial", "l", "r"))
+    fits = firm.select("v", "company", "skel", F.substring(F.translate("alt", "~", ""), 1, 1).alias("initial"), "l", "r")
+    fits = _or_own(fits.join(small(cut(open_.select("company", "skel", "initial").distinct())), ["company", "skel", "initial"]), linked, "l", "r")
     ends = lambda n, c: [F.min(F.when(c, F.col("person"))).alias(f"{n}_lo"), F.max(F.when(c, F.col("person"))).alias(f"{n}_hi")]
     fits = fits.groupBy("company", "skel", "initial").agg(*ends("all", F.lit(True)), *ends("l", F.col("l")), *ends("r", F.col("r")))
     one = lambda n: F.when(F.col(f"{n}_lo") == F.col(f"{n}_hi"), F.col(f"{n}_lo"))
     fitted = open_.join(fits, ["company", "skel", "initial"]).select("v", F.coalesce(one("all"), F.when(~F.col("r"), one("r")), F.when(~F.col("l"), one("l"))).alias("lo")).where(F.col("lo").isNotNull())
     fitted = fitted.select(F.least("v", "lo").alias("a"), F.greatest("v", "lo").alias("b")).where(F.col("a") != F.col("b"))
-    labels = components.label_graph(edges.unionByName(fitted))
-    return cut(_persons(labels, vertices).select("v", "person", "l", "r"))
+    linked = _linked(components.label_graph(edges.unionByName(fitted)), vertices, shared)
+    return _or_own(vertices.select("v", "l", "r"), linked, "l", "r")
 
 
 def _pairs(f: DataFrame, people: DataFrame, chunk: int = CHUNK) -> DataFrame:
